@@ -7,9 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pairlift.llm.fingerprints import op9_document_fingerprints
+from pairlift.llm.jaccard import op2_ngram_jaccard_join
+from pairlift.llm.mixing import OP1_SQL, op1_source_mixing
+from pairlift.llm.packing import op8_best_fit_packing
+from pairlift.llm.secrets import op6_secret_scans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_source_mixing": op1_source_mixing,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op6_secret_scans": op6_secret_scans,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op9_document_fingerprints": op9_document_fingerprints,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_source_mixing": OP1_SQL,
+}

@@ -364,5 +364,18 @@ def similar(docs: DataFrame, percent: int = PERCENT, filter_bits: int = 24) -> D
     return base.join(named, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One row of ``docs`` for each component: that of the least doc_id (of several rows with one id, any of them)."""
+    found = stash(similar(docs, percent), "similar")
+    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id"))
+        return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    # Repeated ids: number the rows, and keep the first of each component.
+    numbered = stash(docs.withColumn("row_id", F.monotonically_increasing_id()), "numbered")
+    found = similar(numbered.select(F.col("row_id").alias("doc_id"), "text"), percent)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("row_id"))
+    return numbered.join(gone, "row_id", "left_anti").drop("row_id")
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar(table(spark, sf_dir, "documents"))

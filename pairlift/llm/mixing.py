@@ -146,6 +146,19 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", words(F.col("text")).alias("size"))
 
 
+def mixture(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The mix of ``docs`` itself: each row as often as it is taken, none for those that aren't.
+
+    Rows that share a doc_id are told apart by their sizes.
+    """
+    size = words(F.col("text"))
+    taken = mix(with_quality(sized(docs), labels)).select(F.col("doc_id").alias("taken_id"), "size", (F.col("epochs") + F.col("extra")).alias("copies"))
+    taken = taken.withColumn("nth", F.row_number().over(Window.partitionBy("taken_id").orderBy("size"))).drop("size")
+    own = docs.withColumn("own_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(size)))
+    joined = own.join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id")) & (F.col("own_nth") == F.col("nth")))
+    return joined.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+
+
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_quality(sized(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
     return mix(docs).select("doc_id", "source", "size", "source_size", "target", "taken")

@@ -54,10 +54,10 @@ def drawn_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 E = f"""WITH e AS (
-  SELECT user_id AS usr, CAST(json_extract_string(props, '$.k') AS BIGINT) AS item, epoch_ms(ts) AS ts_ms, event_id AS pos,
-    epoch_ms(ts) - epoch_ms(ts) % {W} AS w FROM events)"""
+  SELECT user_id AS usr, CAST(json_extract_string(props, '$.k') AS BIGINT) AS item, epoch_us(ts) // 1000 AS ts_ms, event_id AS pos,
+    epoch_us(ts) // 1000 - epoch_us(ts) // 1000 % {W} AS w FROM events)"""
 LATE = """WITH e AS (
-  SELECT event_id, epoch_ms(ts) AS ts_ms, event_id - event_id % 10 + 9 - event_id % 10 AS pos FROM events),
+  SELECT event_id, epoch_us(ts) // 1000 AS ts_ms, event_id - event_id % 10 + 9 - event_id % 10 AS pos FROM events),
 m AS (SELECT *, max(ts_ms) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1 AS watermark FROM e)"""
 #: Ordered pairs of a user's slots; the window is the later one's.
 PAIRS = """, d AS (
@@ -115,13 +115,13 @@ tw AS (SELECT DISTINCT w, item FROM (
 # sources, parsing and windows
 
 
-@query("SELECT user_id AS \"user\", CAST(json_extract_string(props, '$.k') AS BIGINT) AS item, epoch_ms(ts) AS ts_ms FROM events")
+@query("SELECT user_id AS \"user\", CAST(json_extract_string(props, '$.k') AS BIGINT) AS item, epoch_us(ts) // 1000 AS ts_ms FROM events")
 def parse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat_ws(",", "user", "item", "ts_ms", F.lit("ignored")).alias("value")
     return src.parse_lines(src.from_events(spark, sf_dir).select(line))
 
 
-@query('SELECT o_custkey AS "user", l_partkey AS item, epoch_ms(o_orderdate) AS ts_ms FROM lineitem JOIN orders ON l_orderkey = o_orderkey')
+@query('SELECT o_custkey AS "user", l_partkey AS item, epoch_us(o_orderdate) // 1000 AS ts_ms FROM lineitem JOIN orders ON l_orderkey = o_orderkey')
 def scan_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.from_customers(spark, sf_dir)
 
@@ -131,9 +131,10 @@ def window_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("user", "item", "ts_ms", "pos", "w")
 
 
-@query(LATE + " SELECT pos, ts_ms, watermark FROM m")
+@query(LATE + " SELECT pos, ts_ms, coalesce(watermark, -1) AS watermark FROM m")
 def running_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timing.running_watermark(shuffled_events(spark, sf_dir)).select("pos", "ts_ms", "watermark")
+    found = timing.running_watermark(shuffled_events(spark, sf_dir))
+    return found.select("pos", "ts_ms", F.coalesce("watermark", F.lit(-1)).alias("watermark"))
 
 
 @query(LATE + " SELECT pos, ts_ms FROM m WHERE watermark IS NULL OR ts_ms > watermark")

@@ -54,13 +54,13 @@ def with_order(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def stream_lines(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
-    """A stream of lines, oldest files first: value, file_modification_time, file_path, block and line."""
+    """A stream of lines, oldest files first: value, file_modification_time, file_path and block."""
     return (
         spark.readStream.option("maxFilesPerTrigger", files_per_batch)
         .text(path)
         .select(
             "value", F.col("_metadata.file_modification_time").alias("file_modification_time"), F.col("_metadata.file_path").alias("file_path"),
-            F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"),
+            F.col("_metadata.file_block_start").alias("block"),
         )
     )
 

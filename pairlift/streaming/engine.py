@@ -3,7 +3,7 @@
 The scorer needs an all-item snapshot for each window and the sampler feeds rejections back into the
 next window's item counters, so the driver closes windows one after the other.  It only sees window starts
 and a few totals; all rows stay in DataFrames.  Every batch reads state version v - 1 and writes
-version v as Parquet, then points ``_CURRENT`` to it; a batch that is run again starts from the same version, so
+version v as Parquet, then points ``CURRENT`` to it; a batch that is run again starts from the same version, so
 replays give the same tables.  Nothing is kept between batches in memory.
 """
 
@@ -54,14 +54,14 @@ class Engine:
 
     def meta(self) -> dict:
         """What the current version says; FIRST before any."""
-        p, fs = self._fs("_CURRENT")
+        p, fs = self._fs("CURRENT")
         if not fs.exists(p):
             return dict(FIRST)
-        return json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.path}/_CURRENT").collect()))
+        return json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.path}/CURRENT").collect()))
 
     def _publish(self, meta: dict) -> None:
-        p, fs = self._fs("_CURRENT")
-        new, _ = self._fs(f"_NEXT-{meta['version']}")
+        p, fs = self._fs("CURRENT")
+        new, _ = self._fs(f"NEXT-{meta['version']}")
         out = fs.create(new, True)
         out.write(bytearray(json.dumps(meta).encode()))
         out.close()
@@ -217,6 +217,7 @@ class Engine:
         """Starts a query over the files of ``source``; it ends when they are read unless ``continuous`` gives an interval."""
 
         def each(batch: DataFrame, batch_id: int) -> None:
+            batch = batch.withColumn("line", F.monotonically_increasing_id())
             rows = parse_lines(batch.where("value <> ''"), ("file_modification_time", "file_path", "block", "line"))
             kept = self._keep(rows, f"lines/b={batch_id}", "user long, item long, ts_ms long, file_modification_time timestamp, file_path string, block long, line long")
             self.add(with_order(kept, "file_modification_time", "file_path", "block", "line"), batch_id)

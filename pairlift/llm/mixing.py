@@ -5,7 +5,8 @@ its own size, the excess shared among the others.  A target is met by whole epoc
 then a fractional one, drawn by Efraimidis-Spirakis sampling: a document of quality weight w gets the key
 -ln(u)/w with u uniform from a hash of its id, and the documents with the least keys are taken
 while their sizes, summed in key order, stay within what is left.  Then up to ``FILLERS`` further documents,
-each the one whose size is nearest to the gap, are added as long as that brings the source nearer to its target.
+each the one whose size is nearest to the gap, are added as long as that brings the source nearer to its target; such a
+document may be one that is taken already, but none is taken more often than ``cap`` times.
 
 No task sees a whole source.  Keys fall into buckets of about ``bucket_rows`` rows; bucket sums find
 the one bucket per source in which the budget ends, and only that bucket's rows are sorted.
@@ -21,7 +22,7 @@ from pairlift.llm.common import WORD, stash, table
 
 SEED = "mix-1"
 #: Documents that may be added to fill the gap that whole documents leave.
-FILLERS = 4
+FILLERS = 6
 #: Quality weights of labelled documents; others weigh 1.
 LABEL_WEIGHTS = {1: 2.0, 0: 0.5}
 
@@ -58,7 +59,7 @@ def targets(sources: DataFrame, weights: tuple[float, ...], cap: float) -> DataF
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, seed: str = SEED, bucket_rows: int = 1000) -> DataFrame:
     """How often each row of ``docs`` (doc_id, size long, source, and its weight as quality) is taken.
 
-    Returns the rows with source_size, target (the source's), epochs, extra (0 or 1) and taken.
+    Returns the rows with source_size, target (the source's), epochs, extra (times beyond those) and taken.
     Sources weigh ``weights`` in turn, by code point, null (a source of its own) last.  Repeated
     rows are documents of their own.  A source without words has the target 0.  Equal keys go by doc_id and size.  An empty
     table gives none; other columns of ``docs`` do not matter.
@@ -107,9 +108,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.
     picked = picked.join(reached.alias("g"), F.col("c.source").eqNullSafe(F.col("g.source")), "left").select("c.*", "gap")
     # Per source one document of each size that may help, which is bounded by the longest text.
     pool = (
-        picked.where((F.col("extra") == 0) & (F.col("size") > 0) & (F.col("size") < 2 * F.col("gap")))
+        picked.where((F.col("epochs") + F.col("extra") + 1 <= cap) & (F.col("size") > 0) & (F.col("size") < 2 * F.col("gap")))
         .groupBy("source", "size")
-        .agg(F.first("gap").alias("gap"), F.min(F.struct("key", "doc_id", "row")).alias("doc"))
+        .agg(F.first("gap").alias("gap"), F.min(F.struct("extra", "key", "doc_id", "row")).alias("doc"))
         .groupBy("source")
         .agg(F.first("gap").alias("gap"), F.collect_list(F.struct("size", "doc")).alias("pool"))
     )
@@ -151,12 +152,13 @@ def mixture(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Rows that share a doc_id are told apart by their sizes.
     """
-    size = words(F.col("text"))
-    taken = mix(with_quality(sized(docs), labels)).select(F.col("doc_id").alias("taken_id"), "size", (F.col("epochs") + F.col("extra")).alias("copies"))
-    taken = taken.withColumn("nth", F.row_number().over(Window.partitionBy("taken_id").orderBy("size"))).drop("size")
-    own = docs.withColumn("own_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(size)))
-    joined = own.join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id")) & (F.col("own_nth") == F.col("nth")))
-    return joined.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    columns = [F.col(f"own.`{c}`") for c in docs.columns]
+    taken = mix(with_quality(sized(docs), labels)).select("doc_id", "size", (F.col("epochs") + F.col("extra")).alias("copies"))
+    taken = taken.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("size"))).alias("taken")
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(words(F.col("text"))))
+    own = docs.withColumn("_own_nth", nth).alias("own")
+    joined = own.join(taken, F.col("own.doc_id").eqNullSafe(F.col("taken.doc_id")) & (F.col("_own_nth") == F.col("taken.nth"))).where("taken.copies > 0")
+    return joined.select(*columns, F.explode(F.sequence(F.lit(1), F.col("taken.copies"))).alias("_copy")).drop("_copy")
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +200,7 @@ WITH sized AS (
   SELECT *, rest - coalesce(sum(CASE WHEN extra = 1 THEN size END) OVER (PARTITION BY source), 0) AS gap FROM chosen
 ), pool_0 AS (
   SELECT * EXCLUDE (gap, rn), gap AS gap_0, 0 AS more_0 FROM (
-    SELECT *, row_number() OVER (PARTITION BY source, size, extra ORDER BY k, doc_id) AS rn FROM gaps WHERE extra = 0 AND size > 0 AND size < 2 * gap
+    SELECT *, row_number() OVER (PARTITION BY source, size ORDER BY extra, k, doc_id) AS rn FROM gaps WHERE epochs + extra + 1 <= 3 AND size > 0 AND size < 2 * gap
   ) WHERE rn = 1
 )"""
 
@@ -206,7 +208,7 @@ WITH sized AS (
 def _round(i: int) -> str:
     off = f"abs(size - gap_{i - 1})"
     fits = f"more_{i - 1} = 0 AND {off} < gap_{i - 1}"
-    first = f"row_number() OVER (PARTITION BY source ORDER BY CASE WHEN {fits} THEN {off} END ASC NULLS LAST, k, doc_id) = 1"
+    first = f"row_number() OVER (PARTITION BY source ORDER BY CASE WHEN {fits} THEN {off} END ASC NULLS LAST, extra, k, doc_id) = 1"
     return f"""
 , try_{i} AS (SELECT *, CASE WHEN {first} AND {fits} THEN 1 ELSE 0 END AS now_{i} FROM pool_{i - 1}),
 pool_{i} AS (SELECT *, more_{i - 1} + now_{i} AS more_{i},

@@ -63,8 +63,8 @@ def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         same[ok] = word_doc[seen[ok]] == doc[ok]
         own = np.where(same, word_passage[np.maximum(seen, 0)], own)
     total = base[-1]
-    pair = cls[:-1] * CLASSES + cls[1:]
-    counts = np.bincount(own[1:] * (CLASSES * CLASSES) + pair, minlength=total * CLASSES * CLASSES).reshape(total, -1)
+    pair = np.concatenate([_CLASS[10:11], cls[:-1]]) * CLASSES + cls  # the first byte follows a line break, too
+    counts = np.bincount(own * (CLASSES * CLASSES) + pair, minlength=total * CLASSES * CLASSES).reshape(total, -1)
     out = np.zeros((total, FEATURES), np.float32)
     out[:, : CLASSES * CLASSES] = np.sqrt(counts / np.maximum(1, counts.sum(1, keepdims=True)))
     if len(start):

@@ -214,8 +214,8 @@ def test_mixing(spark, docs, empty):
         near[r.source] += r.taken
     goals = {r.source: r.target for r in got.values()}
     assert math.isclose(sum(goals.values()), total)
-    for s, goal in goals.items():
-        assert abs(near[s] - goal) < 0.1 * goal
+    for s, goal in goals.items():  # whole documents only: no nearer than half of one
+        assert abs(near[s] - goal) < 0.05 * goal + max(r.size for r in got.values() if r.source == s) / 2
     whole = mixing.mixture(docs, labels)
     assert whole.columns == docs.columns
     copies = Counter(r.doc_id for r in whole.collect())

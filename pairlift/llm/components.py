@@ -21,12 +21,12 @@ def components(edges: DataFrame) -> DataFrame:
     The number of steps grows with the logarithm of the longest path.
     """
     a, b = edges.columns
-    edges = stash(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+    edges = stash(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v"), "edges")
     before = _measure(edges)
     while before[0]:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         # both ends of a small step: the least smaller neighbour takes the others and the node itself
         large = stash(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))

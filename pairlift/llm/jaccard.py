@@ -19,6 +19,10 @@ one segment that are then still in different components are compared with each o
 task; only pairs that the sketch can't tell apart leave it.  So nothing is lost, and a group of
 copies costs one comparison for each member.  Exact copies are one class from the beginning.
 
+A passage that many documents share makes segments that many share.  Each document emits a few segments more than it needs;
+so a document of which no more than those few are shared by over HOT documents is found by its others, by the same count as above.
+In the groups of such a segment only the documents with more of them are compared with the rest.
+
 Shingles, classes and segments are 64-bit hashes.
 """
 
@@ -39,6 +43,7 @@ K = 5
 PERCENT = 80
 LEVELS = 40
 GROWTH = 1.5
+HOT = 50
 
 _hashes: dict[int, WordHash] = {}
 
@@ -71,14 +76,14 @@ def most_apart(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return (n + m) * (100 - percent) // (100 + percent)
 
 
-def segments(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """The segments that the sets emit: keys, and which set each belongs to."""
+def segments(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The segments that the sets emit: keys, which set each belongs to, and size << 16 | band << 8 | spare segments."""
     size = np.array([len(s) for s in sets], np.int64)
     band = np.searchsorted(BANDS, size)
     reach = size * 100 // percent
     which = np.concatenate([np.flatnonzero(size > 0), np.flatnonzero((size > 0) & (reach > BANDS[band]))])
     label = np.concatenate([band[size > 0], band[(size > 0) & (reach > BANDS[band])] + 1])
-    keys, owners = [], []
+    keys, owners, metas = [], [], []
     for level in range(LEVELS + 1):
         if not len(which):
             break
@@ -103,17 +108,20 @@ def segments(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray
         start = np.concatenate([[0], order])[base[:-1]]
         nth = order - start[owner]
         thin = nth[base[1:] - 1] <= apart
-        out = filled & (nth <= apart[owner] + 1)
+        extra = np.minimum(3 + apart // 20, 255)
+        spare = np.clip(nth[base[1:] - 1] - apart - 1, 0, extra)
+        out = filled & (nth <= (apart + 1 + extra)[owner])
         at = np.flatnonzero(out)
         own = owner[at]
         tag = (at - base[own]).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (label[own] * 64 + level).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
         if level == LEVELS:  # never so in practice: whoever is left meets everyone left
             at, own = np.arange(len(which)), np.arange(len(which))
-            folded, tag = np.zeros(len(which), np.uint64), label.astype(np.uint64)
+            folded, tag, spare = np.zeros(len(which), np.uint64), label.astype(np.uint64), np.zeros(len(which), np.int64)
         keys.append(mix(folded[at] + tag))
         owners.append(which[own])
+        metas.append((n << 16 | label << 8 | spare)[own])
         which, label = which[thin], label[thin]
-    return concat(keys, np.uint64), concat(owners, np.int64)
+    return concat(keys, np.uint64), concat(owners, np.int64), concat(metas, np.int64)
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -128,13 +136,9 @@ def fold(sk: np.ndarray, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(sk.reshape(-1, size), axis=0) if len(sk) > size else sk
 
 
-def distances(one: np.ndarray, many: list[np.ndarray]) -> np.ndarray:
-    """Hamming distances of sketches of different widths."""
-    out = np.zeros(len(many), np.int64)
-    for i, o in enumerate(many):
-        w = min(len(one), len(o))
-        out[i] = np.bitwise_count(fold(one, w) ^ fold(o, w)).sum()
-    return out
+def folded(sketches: list[bytes], size: int) -> np.ndarray:
+    """Sketches, all folded to ``size`` bytes, as rows of 64-bit words."""
+    return np.stack([fold(np.frombuffer(x, np.uint8), size) for x in sketches]).view(np.uint64)
 
 
 def _sets(batch_texts: list[bytes]) -> list[np.ndarray]:
@@ -172,56 +176,31 @@ def _emit(percent: int):
                 own = list(sets.values())
                 if not own:
                     continue
-                keys, owner = segments(own, percent)
-                sizes = np.array([len(s) for s in own], np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(keys)), pa.array(names[owner]), pa.array(sizes[owner])], names=["key", "class", "n"]
-                )
+                keys, owner, meta = segments(own, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(names[owner]), pa.array(meta)], names=["key", "class", "meta"])
 
     return work
 
 
-def _groups(percent: int):
-    """Of rows sorted by key, n and class: (a, b, null) for the least of a group and each other, (class, null, key) for groups of three and more."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
-        lead_key = lead = last = None
-        second = None  # a group's second class is only listed once there is a third
-        count = 0
-        for b in batches:
-            key, name, n = (c.to_numpy() for c in b.columns)
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
-            key, name, n = key[new], name[new], n[new]
-            same = np.zeros(len(key), bool)
-            same[1:] = key[1:] == key[:-1]
-            if len(key) and lead_key is not None:
-                same[0] = key[0] == lead_key
-            # only the beginnings of groups and the rows of groups of two and more need a look
-            more = same | np.append(same[1:], True)
-            a, o, k = [], [], []
-            for x, c in zip(key[more].tolist(), name[more].tolist(), strict=True):
-                if x != lead_key:
-                    lead_key, lead, last, count = x, c, c, 1
-                    continue
-                if c == last:
-                    continue
-                last = c
-                count += 1
-                if (lead, c) not in seen:
-                    if len(seen) > 200_000:
-                        seen.clear()
-                    seen.add((lead, c))
-                    a.append(lead), o.append(c), k.append(None)
-                if count == 2:
-                    second = c
-                    continue
-                for y in (lead, second, c) if count == 3 else (c,):
-                    a.append(y), o.append(None), k.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (a, o, k)], names=["a", "b", "key"])
-
-    return work
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key and class, those of keys with two classes and more, each once."""
+    held = None  # the last class of its key so far, and whether it has been passed on
+    for b in batches:
+        c = [x.to_numpy() for x in b.columns]
+        if held is not None:
+            c = [np.concatenate([x, y]) for x, y in zip(held[0], c, strict=True)]
+        if not len(c[0]):
+            continue
+        same = c[0][1:] == c[0][:-1]
+        new = np.append(True, ~(same & (c[1][1:] == c[1][:-1])))
+        passed = np.zeros(len(new), bool)
+        passed[0] = held is not None and held[1]
+        c, passed = [x[new] for x in c], passed[new]
+        same = c[0][1:] == c[0][:-1]
+        shared = np.append(False, same) | np.append(same, False)
+        out = shared & ~passed
+        held = [x[-1:] for x in c], bool(shared[-1] or passed[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in c], names=["key", "class", "meta"])
 
 
 def _near(percent: int):
@@ -232,11 +211,15 @@ def _near(percent: int):
             n, m = t.column("na").to_numpy(), t.column("nb").to_numpy()
             sa, sb = (t.column(c).to_pylist() for c in ("sa", "sb"))
             apart = most_apart(n, m, percent)
-            ok = (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent).tolist()
-            for i in range(len(ok)):
-                if ok[i]:
-                    one, other = np.frombuffer(sa[i], np.uint8), np.frombuffer(sb[i], np.uint8)
-                    ok[i] = bool(distances(one, [other])[0] <= apart[i])
+            ok = np.minimum(n, m) * 100 >= np.maximum(n, m) * percent
+            width = np.array([[len(x), len(y)] for x, y in zip(sa, sb, strict=True)]).reshape(-1, 2)
+            for w, v in np.unique(width, axis=0).tolist():
+                at = np.flatnonzero((width[:, 0] == w) & (width[:, 1] == v) & ok)
+                low = min(w, v)
+                for i in range(0, len(at), 4096):
+                    part = at[i : i + 4096]
+                    one, other = (folded([s[j] for j in part], low) for s in (sa, sb))
+                    ok[part] = np.bitwise_count(one ^ other).sum(1, dtype=np.int64) <= apart[part]
             yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return work
@@ -259,40 +242,41 @@ def _cross(percent: int):
     """Of rows sorted by key: pairs of different components whose sketches may belong to similar sets."""
 
     def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
-        out = []
+        out: list[tuple[int, int]] = []
         if len({r[1] for r in rows}) < 2:
             return out
-        rows.sort(key=lambda r: r[2])
-        n = np.array([r[2] for r in rows], np.int64)
-        comp = np.array([r[1] for r in rows], np.int64)
-        raw = [np.frombuffer(r[3], np.uint8) for r in rows]
-        width = min(len(r) for r in raw)
-        flat = np.stack([fold(r, width) for r in raw])
-        if width % 8 == 0:
-            flat = flat.view(np.uint64)
-        for i in range(len(rows) - 1):
-            stop = int(np.searchsorted(n, n[i] * 100 // percent, side="right"))
-            if stop <= i + 1:
-                continue
-            apart = most_apart(n[i + 1 : stop], n[i], percent)
-            near = np.bitwise_count(flat[i + 1 : stop] ^ flat[i]).sum(1) <= apart
-            near &= comp[i + 1 : stop] != comp[i]
-            for j in (np.flatnonzero(near) + i + 1).tolist():
-                if distances(raw[i], [raw[j]])[0] <= apart[j - i - 1]:
-                    out.append((min(rows[i][0], rows[j][0]), max(rows[i][0], rows[j][0])))
+        name = [r[0] for r in rows]
+        comp, n = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
+        must = np.array([r[4] for r in rows], bool)
+        flat = folded([r[3] for r in rows], min(len(r[3]) for r in rows))
+        step = max(1, 2_000_000 // max(1, flat.size))
+        own = np.flatnonzero(must)
+        for at in range(0, len(own), step):
+            i = own[at : at + step]
+            near = np.bitwise_count(flat[i, None] ^ flat[None]).sum(2, dtype=np.int64) <= most_apart(n[i, None], n[None], percent)
+            near &= (comp[i, None] != comp[None]) & (np.minimum(n[i, None], n[None]) * 100 >= np.maximum(n[i, None], n[None]) * percent)
+            near &= (i[:, None] < np.arange(len(rows))[None]) | ~must[None]
+            for x, y in zip(*np.nonzero(near), strict=True):
+                a, b = name[i[x]], name[y]
+                out.append((min(a, b), max(a, b)))
         return out
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key, held = None, []
+        seen: set[tuple[int, int]] = set()
         for b in batches:
             out = []
             for key, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if key != held_key:
-                    out += pairs(held)
+                    found = [p for p in pairs(held) if p not in seen]
+                    if len(seen) > 500_000:
+                        seen.clear()
+                    seen.update(found)
+                    out += found
                     held_key, held = key, []
                 held.append(tuple(row))
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
-        out = pairs(held)
+        out = [p for p in pairs(held) if p not in seen]
         yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return work
@@ -303,23 +287,19 @@ def _links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int,
     one = classes.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     other = classes.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     near = stash(pairs.join(one, "a").join(other, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near(percent), "a long, b long"), "near")
-    ends = near.select("a").union(near.select("b")).select(F.col("a").alias("class"))
-    wanted = bitmap(ends.select((F.col("class") + 0).alias("class")), filter_bits)
+    ends = near.select("a").union(near.select("b")).select(F.col("a").alias("class")).distinct()
+    wanted = bitmap(classes.join(ends, "class", "left_semi").select(F.xxhash64("least").alias("least")), filter_bits)
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = {_class(s): s for s in _sets(text_bytes(b.column(0))) if len(s)}
-            names = np.array(list(sets), np.int64)
-            keep = np.flatnonzero(in_bitmap(wanted, filter_bits, names.view(np.uint64))) if len(names) else []
-            own = list(sets.values())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names[keep] if len(names) else [], pa.int64()), pa.array([own[i].tobytes() for i in keep], pa.binary())], names=["class", "members"]
-            )
+            keep = in_bitmap(wanted, filter_bits, b.column("h").to_numpy().view(np.uint64))
+            sets = {_class(s): s for s in _sets(text_bytes(b.column("text").filter(pa.array(keep)))) if len(s)}
+            yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array([s.tobytes() for s in sets.values()], pa.binary())], names=["class", "members"])
 
     if not wanted.any():
         return near
-    sets = docs.select("text").mapInArrow(members, "class long, members binary").groupBy("class").agg(F.first("members").alias("members"))
-    sets = stash(sets.join(ends.distinct(), "class", "left_semi"), "sets")
+    sets = docs.select("text", F.xxhash64("doc_id").alias("h")).mapInArrow(members, "class long, members binary")
+    sets = stash(sets.join(ends, "class", "left_semi").groupBy("class").agg(F.first("members").alias("members")), "sets")
     full = near.join(sets.select(F.col("class").alias("a"), F.col("members").alias("xa")), "a")
     full = full.join(sets.select(F.col("class").alias("b"), F.col("members").alias("xb")), "b")
     return stash(full.select("a", "b", "xa", "xb").mapInArrow(_verify(percent), "a long, b long"), "links")
@@ -338,20 +318,32 @@ def similar(docs: DataFrame, percent: int = PERCENT, filter_bits: int = 24) -> D
     base = stash(docs.mapInArrow(_classify, "doc_id long, n_shingles long, class long, sketch binary"), "classified")
     classes = base.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = stash(classes, "classes")
-    keys = docs.select("text").mapInArrow(_emit(percent), "key long, class long, n long")
-    found = stash(
-        keys.repartition(partitions(spark), "key").sortWithinPartitions("key", "n", "class").mapInArrow(_groups(percent), "a long, b long, key long"), "groups"
-    )
-    stars = stash(found.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars")
+    keys = docs.select("text").mapInArrow(_emit(percent), "key long, class long, meta long")
+    found = keys.repartition(partitions(spark), "key").sortWithinPartitions("key", "class").mapInArrow(_groups, "key long, class long, meta long")
+    found = stash(found, "groups")
+    # Each meets the member of its group that is in most groups, so that a family has few centres.
+    weights = found.groupBy("class").agg(F.count("*").alias("weight"))
+    centre = found.join(weights, "class").groupBy("key").agg(F.max(F.struct("weight", "class")).alias("centre")).select("key", F.col("centre.class").alias("centre"))
+    stars = found.join(centre, "key").where("class <> centre").select(F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b"))
+    stars = stash(stars.distinct(), "stars")
     links = _links(docs, stars, classes, percent, filter_bits)
     roots = stash(components(links), "roots")
     # groups that are not in one component yet
-    rows = found.where("key is not null").select("key", F.col("a").alias("class"))
-    rows = rows.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    rows = stash(rows.join(mixed, "key", "left_semi"), "mixed")
-    rows = rows.join(classes.select("class", "n", "sketch"), "class").select("key", "class", "root", "n", "sketch")
-    rest = rows.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(_cross(percent), "a long, b long").distinct()
+    rows = found.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    mixed = rows.groupBy("key").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members"), F.min("class").alias("lead"), F.bit_xor(F.xxhash64("class")).alias("sign"),
+    ).where("lo <> hi and members > 2").drop("lo", "hi")
+    # Of the groups with the same members one is enough; all of them count in what follows.
+    mixed = stash(mixed.join(mixed.groupBy("sign", "members").agg(F.min("key").alias("one")), ["sign", "members"]).select("key", "members", "lead", (F.col("key") == F.col("one")).alias("one")), "mixed-keys")
+    rows = stash(rows.join(mixed, "key"), "mixed")
+    band = F.shiftright("meta", 8).bitwiseAND(255)
+    hot = rows.where(F.col("members") > HOT).withColumn("band", band)
+    short = hot.groupBy("class", "band").agg(F.count("*").alias("shared"), F.min(F.col("meta").bitwiseAND(255)).alias("spare")).where("shared > spare")
+    hot = stash(hot.join(short.select("class", "band", F.lit(True).alias("must")), ["class", "band"], "left").where("one").select("key", "lead", "class", "root", F.coalesce("must", F.lit(False)).alias("must")), "hot")
+    hot = hot.join(hot.where("must").select("key").distinct(), "key", "left_semi")
+    rows = rows.where((F.col("members") <= HOT) & F.col("one")).select("key", "lead", "class", "root", F.lit(True).alias("must")).union(hot.select("key", "lead", "class", "root", "must"))
+    rows = rows.join(classes.select("class", "n", "sketch"), "class").select("lead", "key", "class", "root", "n", "sketch", "must")
+    rest = rows.repartition(partitions(spark), "lead").sortWithinPartitions("lead", "key").drop("lead").mapInArrow(_cross(percent), "a long, b long").distinct()
     rest = stash(rest.join(stars, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         links = links.union(_links(docs, rest, classes, percent, filter_bits))
@@ -368,13 +360,13 @@ def representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row of ``docs`` for each component: that of the least doc_id (of several rows with one id, any of them)."""
     found = stash(similar(docs, percent), "similar")
     if found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id"))
-        return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+        gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone_id"))
+        return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")), "left_anti")
     # Repeated ids: number the rows, and keep the first of each component.
-    numbered = stash(docs.withColumn("row_id", F.monotonically_increasing_id()), "numbered")
-    found = similar(numbered.select(F.col("row_id").alias("doc_id"), "text"), percent)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("row_id"))
-    return numbered.join(gone, "row_id", "left_anti").drop("row_id")
+    numbered = stash(docs.withColumn("_row_id", F.monotonically_increasing_id()), "numbered")
+    found = similar(numbered.select(F.col("_row_id").alias("doc_id"), "text"), percent)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_row_id"))
+    return numbered.join(gone, "_row_id", "left_anti").drop("_row_id")
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from conftest import corpus, frame
+from samples import corpus, frame
 from pyspark.sql import functions as F
 
 import corpus_pipeline

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest import frame
+from samples import frame
 
 from pairlift.llm import fingerprints, jaccard, mixing, ngram_lm, packing, quality, secrets, substrings
 

@@ -9,10 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Characters that a file's path may sort by; see from_files().
-FILE_ORDER = ("file_modification_time", "file_path")
-
-
 def parse_lines(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """user, item, ts_ms from the ``value`` column; fields after the third are ignored.
 
@@ -35,22 +31,22 @@ def from_files(spark: SparkSession, path: str, modified_after: str | None = None
         "value", F.col("_metadata.file_modification_time").alias("file_modification_time"),
         F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"),
     )
-    rows = parse_lines(lines.where("value <> ''"), ("file_modification_time", "file_path", "block", "line"))
-    return with_order(rows, "file_modification_time", "file_path", "block", "line")
+    return with_order(parse_lines(lines.where("value <> ''"), (*PIECE, "line")))
+
+
+#: What identifies a piece of a file that one task reads, in the order of reading.
+PIECE = ("file_modification_time", "file_path", "block")
 
 
-def with_order(rows: DataFrame, *by: str) -> DataFrame:
-    """user, item, ts_ms and pos, the rank (from 0) by ``by``, without a global sort in one task.
+def with_order(rows: DataFrame, piece: tuple[str, ...] = PIECE, within: str = "line") -> DataFrame:
+    """user, item, ts_ms and pos, the rank (from 0) by ``piece`` and, in a piece, by ``within``.
 
-    Range partitions are sorted and numbered on their own; the offsets are the row counts of those before.
+    A piece is numbered on its own; its offset is the row count of the pieces before it, of which there is a row each.
     """
-    spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    part = rows.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id())
-    part = part.withColumn("nth", F.col("row") - F.shiftleft(F.col("part").cast("long"), 33))
-    sizes = part.groupBy("part").agg(F.count("*").alias("n"))  # a row per partition
-    base = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    return part.join(F.broadcast(base), "part").select("user", "item", "ts_ms", (F.col("base") + F.col("nth")).alias("pos"))
+    own = F.row_number().over(Window.partitionBy(*piece).orderBy(within)) - 1
+    before = F.sum("n").over(Window.orderBy(*piece).rowsBetween(Window.unboundedPreceding, -1))
+    base = rows.groupBy(*piece).agg(F.count("*").alias("n")).select(*piece, F.coalesce(before, F.lit(0)).alias("base"))
+    return rows.withColumn("own", own).join(base, list(piece)).select("user", "item", "ts_ms", (F.col("base") + F.col("own")).alias("pos"))
 
 
 def stream_lines(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:

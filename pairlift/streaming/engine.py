@@ -220,7 +220,7 @@ class Engine:
             batch = batch.withColumn("line", F.monotonically_increasing_id())
             rows = parse_lines(batch.where("value <> ''"), ("file_modification_time", "file_path", "block", "line"))
             kept = self._keep(rows, f"lines/b={batch_id}", "user long, item long, ts_ms long, file_modification_time timestamp, file_path string, block long, line long")
-            self.add(with_order(kept, "file_modification_time", "file_path", "block", "line"), batch_id)
+            self.add(with_order(kept), batch_id)
 
         writer = stream_lines(self.spark, source, files_per_batch).writeStream.foreachBatch(each).option("checkpointLocation", f"{self.path}/offsets")
         return (writer.trigger(processingTime=continuous) if continuous else writer.trigger(availableNow=True)).start()

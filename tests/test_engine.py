@@ -135,8 +135,9 @@ def test_watermark_in_chunks_and_order(spark):
     rows = frame(spark, trace(3))
     plain = sorted(map(tuple, timing.running_watermark(rows).select("pos", "watermark").collect()))
     assert plain == sorted(map(tuple, timing.running_watermark(rows, chunk=7).select("pos", "watermark").collect()))
-    again = src.with_order(rows.withColumn("key", -F.col("pos")), "key").collect()
-    assert sorted(r.pos for r in again) == list(range(120))
+    again = src.with_order(rows.withColumn("piece", F.floor(-F.col("pos") / 16)).withColumn("line", -F.col("pos")), ("piece",)).collect()
+    back = {r.pos: (r.user, r.item, r.ts_ms) for r in again}
+    assert [back[i] for i in range(120)] == trace(3)[::-1]
 
 
 def test_lines(spark, tmp_path):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -16,13 +17,23 @@ from pyspark.sql import functions as F
 #: The word rule of every operator here: runs of anything but U+0020 and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
-M64 = 0xFFFFFFFFFFFFFFFF
+#: The most that an Arrow batch to or from a Python worker holds, but for a longer single row.
+BATCH_BYTES = 16 << 20
 
 _local_scratch: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by BATCH_BYTES, so that a Python worker holds little at a time."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(name))
+    if not now or int(now[1]) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -49,6 +60,7 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     The result has no lineage before the files, so a lost executor costs only the tasks it ran.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
@@ -158,7 +170,7 @@ def bitmap(values: DataFrame, bits: int, chunk_bits: int = 18) -> np.ndarray:
     )
     out = np.zeros(max(1, 1 << bits >> 3), np.uint8)
     width = max(1, 1 << chunk_bits >> 3)
-    for row in built.toLocalIterator():
+    for row in built.collect():  # 2**bits / 8 bytes in all
         out[row.chunk * width : (row.chunk + 1) * width] = np.frombuffer(row.bytes, np.uint8)
     return out
 

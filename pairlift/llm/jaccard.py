@@ -49,7 +49,7 @@ _hashes: dict[int, WordHash] = {}
 
 
 def word_hash() -> WordHash:
-    return _hashes.setdefault(0, WordHash(limit=500_000))
+    return _hashes.setdefault(0, WordHash(limit=250_000))
 
 
 def shingles(text: bytes, own: WordHash, k: int = K) -> np.ndarray:

@@ -42,7 +42,7 @@ _hashes: dict[int, WordHash] = {}
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of all texts in a row, each text closed by END, and where texts begin (and the end)."""
-    own = _hashes.setdefault(0, WordHash(limit=500_000))
+    own = _hashes.setdefault(0, WordHash(limit=250_000))
     words = [t.lower().split() for t in texts]
     size = np.array([len(w) + 1 for w in words], np.int64)
     base = np.concatenate([[0], np.cumsum(size)])

@@ -38,7 +38,7 @@ class WordEncoder:
     those of its words in order.  Words met before are looked up; a worker remembers at most ``limit``.
     """
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

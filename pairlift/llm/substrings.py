@@ -41,7 +41,7 @@ _hashes: dict[int, WordHash] = {}
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
-    return _hashes.setdefault(0, WordHash(limit=500_000)).of(words)
+    return _hashes.setdefault(0, WordHash(limit=250_000)).of(words)
 
 
 _powers: list[tuple[np.ndarray, np.ndarray]] = []
@@ -304,11 +304,14 @@ def deduplicate(docs: DataFrame, k: int = K, anchor: int = ANCHOR) -> DataFrame:
 
 def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        words = [t.split() for t in text_bytes(b.column(2))]
-        yield pa.RecordBatch.from_arrays([
-            b.column(0), b.column(1), pa.array([len(w) for w in words], pa.int64()),
-            pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words], pa.string()),
-        ], names=["doc_id", "id", "n_words", "kept_sha256"])
+        sizes, digests = [], []
+        for t in text_bytes(b.column(2)):  # one text's words at a time
+            words = t.split()
+            sizes.append(len(words))
+            digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "id", "n_words", "kept_sha256"]
+        )
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

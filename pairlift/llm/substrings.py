@@ -31,9 +31,9 @@ from pairlift.llm.common import WordHash, bitmap, concat, in_bitmap, mix, partit
 K = 50
 ANCHOR = 20
 #: An edge with more occurrences is dealt out over several tasks.
-HOT = 10_000
+HOT = 100_000
 #: A run of equal edges with more rows than this is settled by joins, too.
-HELD = 200_000
+HELD = 1_000_000
 SHIFT = 20
 
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))

@@ -3,7 +3,8 @@
 Counts of tokens and of token pairs come from all training documents.  An n-gram that occurs c times gets
 the level 1 + floor(2 log2 c) and is put into a Bloom filter once for each level up to its own; a reader probes level
 after level until one is missing, so a false positive can only raise a count by a step, and rarely more.
-The filter goes to the workers by broadcast; its size is chosen from the number of entries and has a fixed bound.
+The filter's size is chosen from the number of entries.  Up to 2**MAX_BITS bits it goes to the workers by broadcast; beyond, it is
+cut into shards by n-gram hash, and the distinct n-grams of each few texts are sent to the shards and their levels back.
 
 The probability of a token v after u is smoothed by a Dirichlet prior on the token's own probability:
 (c(u, v) + m P(v)) / (c(u) + m), with P(v) = (c(v) + 0.1) / (N + 0.1 (V + 1)).  Pairs that occur once are left to the prior.
@@ -13,11 +14,14 @@ Tokens and pairs are 64-bit hashes.
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +32,9 @@ MIN_PAIR = 2
 PRIOR = 2000.0
 BITS_PER_ENTRY = 10
 PROBES = 6
-#: The filter's size is at most 2**MAX_BITS bits (128 MB).
+#: A filter of more than 2**MAX_BITS bits (128 MB) is not broadcast but cut into shards of 2**SHARD_BITS (16 MB).
 MAX_BITS = 30
+SHARD_BITS = 27
 CHUNK_BITS = 20
 #: More distinct tokens than this are joined, not broadcast (16 bytes each).
 MAX_VOCABULARY = 1 << 23
@@ -103,42 +108,54 @@ _LOW = np.ceil(2 ** (np.arange(130) / 2) - 1e-9)
 COUNT_OF = np.concatenate([[0.0], (_LOW[:-1] + np.maximum(_LOW[:-1], _LOW[1:] - 1)) / 2])
 
 
-def _spots(h: np.ndarray, lev: np.ndarray | int, probe: int, bits: int) -> np.ndarray:
-    """Bit positions; the top bits choose a chunk by the n-gram alone, so that a task can build it."""
-    low = min(CHUNK_BITS, bits)
+def _spots(h: np.ndarray, lev: np.ndarray | int, probe: int, bits: int, low: int) -> np.ndarray:
+    """Bit positions; the top bits choose a chunk of 2**low bits by the n-gram alone, so that a task can build it."""
     chunk = (h >> np.uint64(64 - (bits - low))) if bits > low else np.zeros(len(h), np.uint64)
     x = mix(h + np.uint64(0xA24BAED4963EE407) * np.asarray(lev, np.uint64) + np.uint64((0x9FB21C651E98DF25 * (probe + 1)) & 0xFFFFFFFFFFFFFFFF))
     return (chunk << np.uint64(low)) | (x & np.uint64((1 << low) - 1))
 
 
 class Filter(NamedTuple):
+    """A filter of 2**bits bits, or one of 2**shards shards of that size: that of the n-grams whose top bits are its number."""
+
     bits: int
     data: np.ndarray
+    shards: int = 0
 
     def has(self, h: np.ndarray, lev: int) -> np.ndarray:
         out = np.ones(len(h), bool)
         left = np.arange(len(h))
         for p in range(PROBES):
-            s = _spots(h[left], lev, p, self.bits)
+            s = _spots(h[left], lev, p, self.bits + self.shards, min(CHUNK_BITS, self.bits)) & np.uint64((1 << self.bits) - 1)
             ok = (self.data[(s >> np.uint64(3)).astype(np.int64)] >> (s & np.uint64(7)).astype(np.uint8)) & 1 == 1
             out[left[~ok]] = False
             left = left[ok]
         return out
 
-    def count(self, h: np.ndarray) -> np.ndarray:
-        lev = np.zeros(len(h), np.int64)
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        lev = np.zeros(len(h), np.uint8)
         left = np.arange(len(h))
         step = 0
         while len(left) and step < len(COUNT_OF) - 1:
             step += 1
             left = left[self.has(h[left], step)]
             lev[left] = step
-        return COUNT_OF[lev]
+        return lev
 
+    def count(self, h: np.ndarray) -> np.ndarray:
+        return COUNT_OF[self.levels(h)]
 
-def build(grams: DataFrame, bits: int) -> Filter:
-    """The filter for (gram, n); tasks build chunks of it, and each chunk reaches the driver once."""
-    low = min(CHUNK_BITS, bits)
+
+class Shards(NamedTuple):
+    """A filter of 2**(bits + shards) bits that no process holds as a whole."""
+
+    bits: int  # of a shard
+    shards: int
+    chunks: DataFrame  # (chunk, bytes)
+
+
+def _chunk_rows(grams: DataFrame, bits: int, low: int) -> DataFrame:
+    """(chunk, bytes): the filter of 2**bits bits for (gram, n) in chunks of 2**low; a task builds at most 64 or its share."""
     top = bits - low
     chunk = F.shiftrightunsigned("gram", 64 - top) if top else F.lit(0).cast("long")
 
@@ -150,7 +167,7 @@ def build(grams: DataFrame, bits: int) -> Filter:
             own = np.repeat(np.arange(len(h)), lev)
             step = np.arange(len(own)) - np.repeat(np.cumsum(lev) - lev, lev) + 1
             for p in range(PROBES):
-                s = _spots(h[own], step, p, bits)
+                s = _spots(h[own], step, p, bits, low)
                 at = (s >> np.uint64(low)).astype(np.int64)
                 order = np.argsort(at, kind="stable")
                 cut = runs(at[order])
@@ -163,17 +180,27 @@ def build(grams: DataFrame, bits: int) -> Filter:
         for c, x in held.items():
             yield pa.RecordBatch.from_pydict({"chunk": [c], "bytes": [x.tobytes()]})
 
-    n = min(1 << top, partitions(grams.sparkSession))
-    built = grams.select("gram", "n", chunk.alias("chunk")).repartition(n, "chunk").select("gram", "n").mapInArrow(work, "chunk long, bytes binary")
+    n = min(1 << top, max(partitions(grams.sparkSession), 1 << top >> 6))
+    return grams.select("gram", "n", chunk.alias("chunk")).repartition(n, "chunk").select("gram", "n").mapInArrow(work, "chunk long, bytes binary")
+
+
+def build(grams: DataFrame, bits: int) -> Filter:
+    """The filter for (gram, n); tasks build chunks of it, and each chunk reaches the driver once."""
+    low = min(CHUNK_BITS, bits)
     data = np.zeros(1 << bits >> 3, np.uint8)
     width = 1 << low >> 3
-    for r in built.toLocalIterator():  # 2**bits / 8 bytes in all
+    for r in _chunk_rows(grams, bits, low).toLocalIterator():  # 2**bits / 8 bytes in all
         data[r.chunk * width : (r.chunk + 1) * width] = np.frombuffer(r.bytes, np.uint8)
     return Filter(bits, data)
 
 
+def build_shards(grams: DataFrame, bits: int, shards: int) -> Shards:
+    """The filter for (gram, n), in files."""
+    return Shards(bits, shards, stash(_chunk_rows(grams, bits + shards, min(CHUNK_BITS, bits)), "filter"))
+
+
 class Model(NamedTuple):
-    grams: Filter
+    grams: Filter | Shards
     total: int  # N
     kinds: int  # V
     words: tuple[np.ndarray, np.ndarray] | None  # sorted token hashes and counts, if few enough
@@ -182,24 +209,21 @@ class Model(NamedTuple):
 def fit(docs: DataFrame, max_bits: int = MAX_BITS, max_vocabulary: int = MAX_VOCABULARY, min_pair: int = MIN_PAIR) -> tuple[Model, DataFrame]:
     """The model of all texts of ``docs``, and the token counts it rests on.
 
-    Should the filter need more than 2**max_bits bits, pairs have to occur more often to be in it (what
-    the tables then say they need): the model is bounded, the counts are not.
+    A filter that needs more than 2**max_bits bits is made in shards; it holds every count either way.
     """
     words = stash(counts(docs, 1), "tokens")
     two = stash(counts(docs, 2).where(F.col("n") >= min_pair), "pairs")
     start = F.col("gram") == int(signed(np.array([START]))[0])
     row = words.where(~start).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    entries = (1 + F.floor(2 * F.log2("n") + 1e-9)).alias("entries")
-    need = {x.k: int(x.e) for x in two.select(F.floor(F.log2("n")).alias("k"), entries).groupBy("k").agg(F.sum("entries").alias("e")).collect()}
-    own = int(words.select(entries).agg(F.coalesce(F.sum("entries"), F.lit(0))).first()[0])
-    least = 0
-    while need and (own + sum(need.values())) * BITS_PER_ENTRY > 1 << max_bits:
-        least = min(need) + 1
-        need.pop(min(need))
-    if least:
-        two = two.where(F.col("n") >= 1 << least)
-    bits = max(10, min(max_bits, int((own + sum(need.values())) * BITS_PER_ENTRY).bit_length()))
-    grams = build(words.union(two), bits)
+    both = words.union(two)
+    entries = F.sum(1 + F.floor(2 * F.log2("n") + 1e-9))
+    need = int(both.agg(F.coalesce(entries, F.lit(0))).first()[0]) * BITS_PER_ENTRY
+    bits = max(10, need.bit_length())
+    if need <= 1 << max_bits:
+        grams = build(both, min(bits, max_bits))
+    else:
+        own = min(SHARD_BITS, max_bits)
+        grams = build_shards(both, own, bits - own)
     known = None
     if row.v <= max_vocabulary:
         rows = words.where(~start).toArrow()  # at most max_vocabulary rows of 16 bytes
@@ -213,36 +237,47 @@ def unigram(c: np.ndarray, m: Model) -> np.ndarray:
     return (c + 0.1) / (m.total + 0.1 * (m.kinds + 1))
 
 
+def _known(h: np.ndarray, base: np.ndarray, m: Model) -> tuple[np.ndarray | None, np.ndarray | None]:
+    """For each text known tokens and base score, if the model has the words."""
+    if m.words is None:
+        return None, None
+    own, n = m.words
+    kind, back = np.unique(h, return_inverse=True)
+    at = np.minimum(np.searchsorted(own, kind), max(0, len(own) - 1))
+    c = np.where(own[at] == kind, n[at], 0)[back] if len(own) else np.zeros(len(h), np.int64)
+    return np.add.reduceat((c > 0).astype(np.int64), base[:-1]), np.add.reduceat(np.log10(unigram(c, m)), base[:-1])
+
+
+def _smoothed(soft: np.ndarray, joint: np.ndarray, start: float, base: np.ndarray, m: Model) -> np.ndarray:
+    """log10 probability of each text, from its tokens' and pairs' counts and that of START."""
+    seen = np.empty(len(soft))
+    seen[1:] = soft[:-1]
+    seen[base[:-1]] = start
+    p = (np.minimum(joint, seen) + PRIOR * unigram(soft, m)) / (seen + PRIOR)
+    return np.add.reduceat(np.log10(p), base[:-1])
+
+
 def score_texts(texts: list[bytes], m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]:
     """For each text: tokens, the model's log10 probability, and if the model has the words, known tokens and base score."""
     h, base = tokens(texts)
     kind, back = np.unique(h, return_inverse=True)
-    first = base[:-1]
     soft = m.grams.count(kind)[back]
-    before, two = pairs(h, base)
-    seen = np.empty(len(h))
-    seen[1:] = soft[:-1]
-    seen[first] = m.grams.count(np.array([START]))[0]
-    joint = np.minimum(m.grams.count(two), seen)
-    p = (joint + PRIOR * unigram(soft, m)) / (seen + PRIOR)
-    score = np.add.reduceat(np.log10(p), first)
-    if m.words is None:
-        return np.diff(base), score, None, None
-    own, n = m.words
-    at = np.minimum(np.searchsorted(own, kind), max(0, len(own) - 1))
-    c = np.where(own[at] == kind, n[at], 0)[back] if len(own) else np.zeros(len(h), np.int64)
-    return np.diff(base), score, np.add.reduceat((c > 0).astype(np.int64), first), np.add.reduceat(np.log10(unigram(c, m)), first)
+    score = _smoothed(soft, m.grams.count(pairs(h, base)[1]), m.grams.count(np.array([START]))[0], base, m)
+    return np.diff(base), score, *_known(h, base, m)
 
 
-def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score and score for each row of ``docs`` (doc_id, text).
+SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
-    Null texts count as empty, and an empty text is its end token.  Repeated rows repeat; other columns are ignored;
-    an empty table gives none.  Training tables without rows leave the prior: every token 0.1 / 0.1.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shared = spark.sparkContext.broadcast(model)  # bounded by max_bits and max_vocabulary
+
+def _scores(ids: pa.Array, n: np.ndarray, known: np.ndarray | None, plain: np.ndarray | None, score: np.ndarray) -> pa.RecordBatch:
+    none = [None] * len(n)
+    return pa.RecordBatch.from_arrays([
+        ids, pa.array(n), pa.array(none if known is None else known, pa.int64()), pa.array(none if plain is None else plain, pa.float64()), pa.array(score),
+    ], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+
+def _by_broadcast(rows: DataFrame, model: Model) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # bounded by max_bits and max_vocabulary
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -250,18 +285,95 @@ def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
             texts, ids = text_bytes(b.column(1)), b.column(0)
             for at, stop in _chunks(texts):
                 n, s, known, plain = score_texts(texts[at:stop], m)
-                none = [None] * (stop - at)
-                yield pa.RecordBatch.from_arrays([
-                    ids.slice(at, stop - at), pa.array(n), pa.array(none if known is None else known, pa.int64()),
-                    pa.array(none if plain is None else plain, pa.float64()), pa.array(s),
-                ], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+                yield _scores(ids.slice(at, stop - at), n, known, plain, s)
+
+    return rows.mapInArrow(work, SCORES)
+
+
+def _by_shards(rows: DataFrame, model: Model) -> DataFrame:
+    """As _by_broadcast, with the filter in shards.
+
+    Groups of texts become a row that knows each token's and pair's place among the group's distinct n-grams (shard -1), and a row
+    of these n-grams for each shard.  The shards return levels, and each group's rows meet again.
+    """
+    spark = rows.sparkSession
+    bits, shards, chunks = model.grams
+    low = min(CHUNK_BITS, bits)
+    shared = spark.sparkContext.broadcast(model._replace(grams=None))  # bounded by max_vocabulary
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        pack = zstandard.ZstdCompressor(1)
+        for b in batches:
+            texts, ids = text_bytes(b.column(1)), b.column(0)
+            for at, stop in _chunks(texts):
+                h, base = tokens(texts[at:stop])
+                every, back = np.unique(np.concatenate([h, pairs(h, base)[1], [START]]), return_inverse=True)
+                own = pickle.dumps((ids.slice(at, stop - at).to_pylist(), base, back.astype(np.int32), *_known(h, base, m)))
+                shard = (every >> np.uint64(64 - shards)).astype(np.int64)
+                cut = runs(shard)
+                data = [pack.compress(own), *(every[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True))]
+                group = np.full(len(data), uuid.uuid4().int >> 65, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(group), pa.array([-1, *shard[cut[:-1]].tolist()], pa.int64()), pa.array(data, pa.binary())], names=["group", "shard", "data"])
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, width = -1, np.zeros(1 << bits >> 3, np.uint8), 1 << low >> 3
+        for b in batches:
+            groups, numbers, found = [], [], []
+            for shard, chunk, group, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if shard != now:
+                    now = shard
+                    held[:] = 0
+                if group is None:
+                    at = (chunk & ((1 << (bits - low)) - 1)) * width
+                    held[at : at + width] = np.frombuffer(data, np.uint8)
+                else:
+                    groups.append(group), numbers.append(shard), found.append(Filter(bits, held, shards).levels(np.frombuffer(data, np.uint64)).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(numbers, pa.int64()), pa.array(found, pa.binary())], names=["group", "shard", "data"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        unpack = zstandard.ZstdDecompressor()
+
+        def finish(own: bytes, levels: list[bytes]) -> pa.RecordBatch:
+            ids, base, back, known, plain = pickle.loads(unpack.decompress(own))
+            c = COUNT_OF[np.frombuffer(b"".join(levels), np.uint8)][back]
+            n = int(base[-1])
+            return _scores(pa.array(ids, pa.int64()), np.diff(base), known, plain, _smoothed(c[:n], c[n:-1], c[-1], base, m))
+
+        own, levels = None, []
+        for b in batches:
+            for shard, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if shard >= 0:
+                    levels.append(data)
+                    continue
+                if own is not None:
+                    yield finish(own, levels)
+                own, levels = data, []
+        if own is not None:
+            yield finish(own, levels)
+
+    asked = stash(rows.mapInArrow(ask, "group long, shard long, data binary"), "probes")
+    held = chunks.select(F.shiftright("chunk", bits - low).alias("shard"), "chunk", F.lit(None).cast("long").alias("group"), F.col("bytes").alias("data"))
+    met = held.union(asked.where("shard >= 0").select("shard", F.lit(None).cast("long"), "group", "data"))
+    met = met.repartition(max(partitions(spark), 1 << shards), "shard").sortWithinPartitions("shard", F.col("group").asc_nulls_first())
+    found = met.mapInArrow(look, "group long, shard long, data binary").union(asked.where("shard < 0"))
+    return found.repartition(partitions(spark), "group").sortWithinPartitions("group", "shard").mapInArrow(merge, SCORES)
 
-    schema = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+
+def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score and score for each row of ``docs`` (doc_id, text).
+
+    Null texts count as empty, and an empty text is its end token.  Repeated rows repeat; other columns are ignored;
+    an empty table gives none.  Training tables without rows leave the prior: every token 0.1 / 0.1.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    scores = _by_shards if isinstance(model.grams, Shards) else _by_broadcast
     if model.words is not None:
-        return rows.mapInArrow(work, schema)
+        return scores(rows, model)
     # Too many distinct tokens to broadcast: each document's tokens meet their counts in a join.
     numbered = stash(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
-    scored = numbered.select("row", "text").mapInArrow(work, schema).select(F.col("doc_id").alias("row"), "n_tokens", "score")
+    scored = scores(numbered.select(F.col("row").alias("doc_id"), "text"), model).select(F.col("doc_id").alias("row"), "n_tokens", "score")
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

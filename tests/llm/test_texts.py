@@ -307,6 +307,15 @@ def test_filter_counts(spark):
     assert bounded.grams.bits == 10
 
 
+def test_lm_in_shards(docs):
+    """A filter too large for one process keeps every count and scores like one that is broadcast."""
+    whole, kinds = ngram_lm.fit(docs)
+    cut, _ = ngram_lm.fit(docs, max_bits=10)
+    want = {r.doc_id: r.score for r in ngram_lm.score(docs, whole, kinds).collect()}
+    got = {r.doc_id: r.score for r in ngram_lm.score(docs, cut, kinds).collect()}
+    assert set(got) == set(want) and np.mean([math.isclose(got[i], want[i], rel_tol=0.02) for i in want]) > 0.9
+
+
 # 7
 
 

@@ -7,7 +7,7 @@ The filter's size is chosen from the number of entries.  Up to 2**MAX_BITS bits
 cut into shards by n-gram hash, and the distinct n-grams of each few texts are sent to the shards and their levels back.
 
 The probability of a token v after u is smoothed by a Dirichlet prior on the token's own probability:
-(c(u, v) + m P(v)) / (c(u) + m), with P(v) = (c(v) + 0.1) / (N + 0.1 (V + 1)).  Pairs that occur once are left to the prior.
+(c(u, v) + m P(v)) / (c(u) + m), with P(v) = (c(v) + 0.1) / (N + 0.1 (V + 1)).
 
 Tokens and pairs are 64-bit hashes.
 """
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pairlift.llm.common import WordHash, mix, partitions, runs, signed, stash, table, text_bytes
 
 FOLDS, HELD_OUT = 10, 0
-MIN_PAIR = 2
+MIN_PAIR = 1
 PRIOR = 2000.0
 BITS_PER_ENTRY = 10
 PROBES = 6

@@ -316,6 +316,27 @@ def test_lm_in_shards(docs):
     assert set(got) == set(want) and np.mean([math.isclose(got[i], want[i], rel_tol=0.02) for i in want]) > 0.9
 
 
+def test_lm_has_all_counts(docs, rows):
+    """Pairs of any count are in the model, in a filter that is broadcast and in one that is cut into shards."""
+    tokens = {i: [*(t or "").encode().lower().split(), b""] for i, t in rows}
+    one = Counter(w for t in tokens.values() for w in t) + Counter({None: len(tokens)})
+    two = Counter(p for t in tokens.values() for p in zip([None, *t], t))  # noqa: B905
+    n, v = sum(one.values()) - one[None], len(one) - 1
+    assert min(two.values()) == 1
+    c = lambda k: ngram_lm.COUNT_OF[ngram_lm.level(np.array(k))]
+    want = {}
+    for i, t in tokens.items():
+        p = [(min(c(two[u, w]), c(one[u])) + ngram_lm.PRIOR * (c(one[w]) + 0.1) / (n + 0.1 * (v + 1))) / (c(one[u]) + ngram_lm.PRIOR) for u, w in zip([None, *t], t)]  # noqa: B905
+        want[i] = float(np.log10(p).sum())
+    for bits in (30, 10):
+        model, kinds = ngram_lm.fit(docs, max_bits=bits)
+        assert isinstance(model.grams, ngram_lm.Shards) == (bits == 10)
+        for m in (model, model._replace(words=None)):
+            got = {r.doc_id: r.score for r in ngram_lm.score(docs, m, kinds).collect()}
+            assert set(got) == set(want)
+            assert np.mean([math.isclose(got[i], want[i], rel_tol=0.02) for i in want]) > 0.9
+
+
 # 7
 
 

@@ -6,16 +6,20 @@ escapes, base64, and gzip, zlib, bzip2 or Zstandard streams inside base64).  Eac
 original text it came from, so findings in any layer map back to the original.  A layer seen before
 in the same document is not opened again, which ends cycles.
 
-Documents are independent, so there is no shuffle.  A layer of more than ``max_layer`` characters
-after decompression is not opened (a documented bound against archive bombs); original texts have no limit.
+Base64 over several lines is joined, and tried from each of the first four characters, so that what
+stands before it in the run only spoils the bytes it shares.
+
+Documents are independent, so there is no shuffle.  A stream that inflates to more than ``max_layer`` bytes is scanned
+in pieces of that size that overlap, so that memory is bounded; original texts have no limit.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
+import codecs
 import hashlib
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -34,10 +38,19 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # the same matches as AKIA[A-Z0-9]+ of 18 or more: a run has one end
 HEX = re.compile(r"[0-9a-f]{16,}")
 MAX_LAYER = 1 << 24
+#: Characters that the pieces of a long stream share.
+OVERLAP = 1 << 16
 
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{20,}(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)+={0,2}")
+_STREAM = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\x28\xb5\x2f\xfd|\x78[\x01\x5e\x9c\xda]", re.S)
+#: Printable UTF-8 long enough for a finding.
+_TEXT = re.compile(
+    rb"(?:[\t\r\n\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]"
+    rb"|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}){16,}"
+)
 
 
 class Span(NamedTuple):
@@ -148,82 +161,168 @@ def _in_place(layer: Layer, pattern: re.Pattern, decode) -> list[Layer]:
     return out
 
 
-def _inflate(data: bytes, limit: int) -> bytes | None:
-    """What a compressed stream holds, if it is one and holds at most ``limit`` bytes."""
-    try:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78":
-            d = zlib.decompressobj(47)
-            out = d.decompress(data, limit + 1)
-        elif data[:3] == b"BZh":
-            out = bz2.BZ2Decompressor().decompress(data, limit + 1)
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(data) as r:
-                out = r.read(limit + 1)
-        else:
-            return None
-    except (zlib.error, OSError, EOFError, zstandard.ZstdError):
-        return None
-    return out if 0 < len(out) <= limit else None
+class _Source:
+    """Pieces of bytes as a file."""
 
+    def __init__(self, parts: Iterator[bytes]):
+        self.parts, self.left = parts, b""
 
-def _readable(text: str) -> bool:
-    return bool(text) and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.95 * len(text)
+    def read(self, n: int) -> bytes:
+        if not self.left:
+            self.left = next(self.parts, b"")
+        out, self.left = self.left[:n], self.left[n:]
+        return out
 
 
-def _base64(layer: Layer, limit: int) -> list[Layer]:
-    out = []
-    for m in _BASE64.finditer(layer.text):
-        run = m[0].rstrip("=")
-        if len(run) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(run.translate({45: 43, 95: 47}) + "=" * (-len(run) % 4), validate=True)
-        except binascii.Error:
-            continue
-        starts, ends = _piece(layer, m.start(), m.start() + len(run))
-        packed = False
-        while (more := _inflate(data, limit)) is not None:
-            data, packed = more, True
-            if len(data) < 2:
+def _inflate(parts: Iterator[bytes], size: int) -> Iterator[bytes]:
+    """What a stream holds, streams inside it inflated in turn, in pieces of at most ``size`` bytes; as far as it is sound."""
+    first = next(parts, b"")
+    while 0 < len(first) < 4 and (more := next(parts, b"")):
+        first += more
+    parts = itertools.chain([first], parts)
+    if first[:2] == b"\x1f\x8b" or first[:1] == b"\x78":
+        inner = _inflate_zlib(parts, size)
+    elif first[:3] == b"BZh":
+        inner = _inflate_bz2(parts, size)
+    elif first[:4] == b"\x28\xb5\x2f\xfd":
+        inner = _inflate_zstd(parts, size)
+    else:
+        yield from parts
+        return
+    head = next(inner, None)
+    if head is None:  # not a stream after all
+        yield first
+        yield from parts
+        return
+    yield from _inflate(itertools.chain([head], inner), size)
+
+
+def _inflate_zlib(parts: Iterator[bytes], size: int) -> Iterator[bytes]:
+    d = zlib.decompressobj(47)
+    for left in parts:
+        while not d.eof:
+            try:
+                out = d.decompress(left, size)
+            except zlib.error:
+                return
+            left = d.unconsumed_tail
+            if out:
+                yield out
+            if not left and len(out) < size:
                 break
-        got = _utf8(data)
-        text = "".join(c for c, _, _ in got) if got else ""
-        if not _readable(text):
-            continue
-        if packed:
-            n = len(text)
-            out.append(Layer(text, np.full(n, starts.min()), np.full(n, ends.max())))
-        else:  # byte i comes from the characters that hold its bits
-            out.append(Layer(
-                text,
-                np.array([starts[a * 8 // 6] for _, a, _ in got]),
-                np.array([ends[min(-(-b * 8 // 6), len(run)) - 1] for _, _, b in got]),
-            ))
-    return out
 
 
-def unwrap(layer: Layer, limit: int = MAX_LAYER) -> list[Layer]:
-    found: list[Layer] = []
+def _inflate_bz2(parts: Iterator[bytes], size: int) -> Iterator[bytes]:
+    d = bz2.BZ2Decompressor()
+    for left in parts:
+        while not d.eof:
+            try:
+                out = d.decompress(left, size)
+            except OSError:
+                return
+            left = b""
+            if out:
+                yield out
+            if d.needs_input:
+                break
+
+
+def _inflate_zstd(parts: Iterator[bytes], size: int) -> Iterator[bytes]:
+    with zstandard.ZstdDecompressor().stream_reader(_Source(parts)) as r:
+        try:
+            while out := r.read(size):
+                yield out
+        except zstandard.ZstdError:
+            return
+
+
+def _readable(text: str) -> bool:
+    return bool(text) and sum((c.isprintable() and c != "\ufffd") or c in "\t\r\n" for c in text) >= 0.95 * len(text)
+
+
+def _unpacked(data: bytes, start: int, end: int, limit: int) -> Iterator[Layer]:
+    """The texts in a compressed stream; each has the span of the whole run."""
+    decoder, tail, held = codecs.getincrementaldecoder("utf-8")("replace"), "", b""
+
+    def layer(piece: bytes, final: bool) -> Iterator[Layer]:
+        nonlocal tail
+        text = tail + decoder.decode(piece, final)
+        tail = text[-min(OVERLAP, limit // 2) :]
+        if _readable(text):
+            n = len(text)
+            yield Layer(text, np.broadcast_to(np.int64(start), n), np.broadcast_to(np.int64(end), n))
+
+    for piece in _inflate(iter([data]), limit):
+        if held and len(held) + len(piece) > limit:
+            yield from layer(held, False)
+            held = b""
+        held += piece
+    yield from layer(held, True)
+
+
+def _base64(layer: Layer, limit: int) -> Iterator[Layer]:
+    for pattern in (_BASE64, _WRAPPED):
+        for m in pattern.finditer(layer.text):
+            starts, ends = _piece(layer, *m.span())
+            at = np.array([i for i, c in enumerate(m[0]) if c not in "= \t\r\n"])
+            run, starts, ends = "".join(m[0].split()).rstrip("="), starts[at], ends[at]
+            for skip in range(4):
+                part = run[skip:]
+                part = part[: len(part) - (len(part) % 4 == 1)]
+                yield from _decoded(part, starts[skip:], ends[skip:], limit, (int(starts.min()), int(ends.max())))
+
+
+def _decoded(run: str, starts: np.ndarray, ends: np.ndarray, limit: int, whole: tuple[int, int]) -> Iterator[Layer]:
+    """What base64 from the run's first character on holds: all of it if readable, its readable parts, and streams."""
+    data = base64.b64decode(run.translate({45: 43, 95: 47}) + "=" * (-len(run) % 4))
+    for at in sorted({0, *(m.start() for m in _STREAM.finditer(data))}):
+        if _inflates(data[at:]):
+            yield from _unpacked(data[at:], *whole, limit)
+    parts = [m.span() for m in _TEXT.finditer(data)]
+    if parts != [(0, len(data))]:
+        got = _utf8(data)
+        if got and _readable("".join(c for c, _, _ in got)):
+            parts.append((0, len(data)))
+    for a, b in parts:
+        got = _utf8(data[a:b])
+        yield Layer(  # byte i comes from the characters that hold its bits
+            "".join(c for c, _, _ in got),
+            np.array([starts[(a + i) * 8 // 6] for _, i, _ in got]),
+            np.array([ends[min(-(-(a + j) * 8 // 6), len(run)) - 1] for _, _, j in got]),
+        )
+
+
+def _inflates(data: bytes) -> bool:
+    """Whether a compressed stream begins here."""
+    for of in (_inflate_zlib, _inflate_bz2, _inflate_zstd):
+        if (of is _inflate_zlib) == (data[:2] == b"\x1f\x8b" or data[:1] == b"\x78") and next(of(iter([data]), 64), None):
+            return True
+    return False
+
+
+def unwrap(layer: Layer, limit: int = MAX_LAYER) -> Iterator[Layer]:
     if "%" in layer.text:
-        found += _in_place(layer, _PERCENT, _percent)
+        yield from _in_place(layer, _PERCENT, _percent)
     if "\\" in layer.text or "&#" in layer.text:
-        found += _in_place(layer, _ESCAPE, _escape)
-    return found + _base64(layer, limit)
+        yield from _in_place(layer, _ESCAPE, _escape)
+    yield from _base64(layer, limit)
 
 
 def scan(text: str, limit: int = MAX_LAYER) -> tuple[list[Span], list[Span]]:
     """The base findings of a text, and all findings with those in its decoded layers."""
     base = matches(text)
-    todo, seen, found = [Layer(text, None, None)], set(), set(base)
-    while todo:
-        layer = todo.pop()
-        for inner in unwrap(layer, limit):
-            key = (hashlib.blake2b(inner.text.encode("utf-8", "replace"), digest_size=16).digest(), inner.origin(0, len(inner.text)))
-            if key in seen:
-                continue
-            seen.add(key)
-            found.update(Span(s.kind, *inner.origin(s.start, s.end)) for s in matches(inner.text))
-            todo.append(inner)
+    todo, seen, found = [unwrap(Layer(text, None, None), limit)], set(), set(base)
+    while todo:  # depth first, a layer at a time
+        inner = next(todo[-1], None)
+        if inner is None:
+            todo.pop()
+            continue
+        key = (hashlib.blake2b(inner.text.encode("utf-8", "replace"), digest_size=16).digest(), inner.origin(0, len(inner.text)))
+        if key in seen:
+            continue
+        seen.add(key)
+        found.update(Span(s.kind, *inner.origin(s.start, s.end)) for s in matches(inner.text))
+        todo.append(unwrap(inner, limit))
     return base, in_order(list(found))
 
 

@@ -180,6 +180,37 @@ def test_layers():
     assert secrets.scan(plain) == ([], [])
 
 
+def test_wrapped_and_prefixed_base64():
+    import base64
+    import gzip
+
+    inner = "Some caf\u00e9 words that go before it, and more of them: api_key=ABCDEFGHIJKLMNOP, then the r\u00e9st."
+    noise = "".join(chr(33 + i * i * 31 % 90) for i in range(400))
+    lines = lambda b, n: "\n".join(base64.b64encode(b).decode()[i : i + n] for i in range(0, 9999, n)).strip()
+    codes = [lines(inner.encode(), 64), lines(inner.encode(), 76).replace("\n", "\r\n"), lines(gzip.compress((noise + inner).encode()), 64)]
+    once = base64.b64encode(inner.encode()).decode()
+    packed = base64.b64encode(gzip.compress(inner.encode())).decode()
+    codes += [f"{x}{c}" for x in (".com/cb/", "data_", "x-", "ab/") for c in (once, packed)]
+    for code in codes:
+        spans = [s for s in secrets.scan(f"see {code}\nThe end")[1] if s.kind == "assign"]
+        assert spans and all(4 <= s.start < s.end <= 8 + len(code) for s in spans), code
+
+
+@pytest.mark.parametrize("at", [0, 3990, 9000])
+def test_long_streams(at):
+    import base64
+    import bz2
+    import gzip
+
+    import zstandard
+
+    text = b"lorem ipsum " * 1000
+    text = text[:at] + b" api_key=ABCDEFGHIJKLMNOP " + text[at:]
+    for data in (gzip.compress(text), zlib.compress(text), bz2.compress(text), zstandard.ZstdCompressor().compress(text), gzip.compress(gzip.compress(text))):
+        code = base64.b64encode(data).decode()
+        assert secrets.Span("assign", 2, 2 + len(code.rstrip("="))) in secrets.scan(f"a {code} b", 4000)[1]
+
+
 def test_secret_tables(spark, docs, empty):
     assert secrets.find_secrets(empty).count() == 0
     assert secrets.redact(docs).exceptAll(docs).count() == 0

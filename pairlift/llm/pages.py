@@ -8,8 +8,8 @@ everywhere and score near 0, and a branch below ``LOW`` goes.
 
 Before that, what an element says about itself is taken at its word: menus, headers, footers, sidebars, notices, adverts,
 forms, scripts and comments by element name, role, class or id; and a page with an article (or else a
-main) element has its text there.  The style tree never takes more than half of the text that this leaves
-of a page, so an article that a host repeats is kept.
+main) element has its text there.  Where the style tree would take all that this leaves of a page, the
+low branch with the most text stays, so an article that a host repeats is kept.
 
 The tree is a grouped count: rows (host, path, feature) combine in tasks before the shuffle, so a host of any
 size spreads over all tasks.
@@ -205,11 +205,17 @@ def main_blocks(page: str) -> tuple[list[Block], dict[int, str]]:
 
 
 def text_of(blocks: list[Block], low: set[int] | None = None) -> str:
-    """The blocks joined, without those in low branches unless these hold over half of the text."""
+    """The blocks joined, without those in low branches; if nothing else is left, the low branch with the most text."""
     if low:
         left = [b for b in blocks if low.isdisjoint(b.branches)]
-        if 2 * sum(len(b.text) for b in left) >= sum(len(b.text) for b in blocks):
-            blocks = left
+        if not left:
+            of = [next(x for x in b.branches if x in low) for b in blocks]
+            size: dict[int, int] = {}
+            for x, b in zip(of, blocks, strict=True):
+                size[x] = size.get(x, 0) + len(b.text)
+            most = max(size, key=size.__getitem__, default=None)
+            left = [b for x, b in zip(of, blocks, strict=True) if x == most]
+        blocks = left
     return "\n".join(b.text for b in blocks)
 
 

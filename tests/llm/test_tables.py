@@ -43,6 +43,15 @@ def test_style_tree(spark, limit):
     assert pages.extract(table.where("false")).count() == 0
 
 
+def test_long_template(spark):
+    """A template longer than the text goes too; beside a repeated article, a shorter repeated block goes."""
+    menu = "<table>" + "".join(f"<tr><td>Department number {i} of the shop" for i in range(40)) + "</table>"
+    rows = [(i, f"http://a.example/{i}", f"<body><div><p>text {i}</p></div>{menu}</body>") for i in range(8)]
+    rows += [(100 + i, f"http://b.example/{i}", "<body><div><p>the same article everywhere</p></div><table><tr><td>Call us</table></body>") for i in range(8)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{i: f"text {i}" for i in range(8)}, **{100 + i: "the same article everywhere" for i in range(8)}}
+
+
 def test_host():
     assert pages.host("HTTP://u@A.example:8/x") == pages.host("//a.example?y") == "a.example" and pages.host(None) == pages.host("x") == ""
 

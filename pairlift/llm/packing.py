@@ -11,10 +11,13 @@ A piece finds its place by its rank among the pieces of its length.
 
 from __future__ import annotations
 
+import itertools
+import operator
 import os
+import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +30,52 @@ from pairlift.llm.common import stash, table, text_bytes
 CAPACITY = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
+_PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
+#: Letters whose lower case and composed form do not depend on their neighbours.
+_PLAIN = re.compile("[A-Za-z\u00aa-\u012f\u0131-\u024f]+")
 
 _encoders: dict[str, "WordEncoder"] = {}
 
 
+class _Recent(dict):
+    """A dict of at most about ``limit`` entries that forgets those not used for longest.
+
+    Entries live in two generations: when the young one is half of the limit, it becomes the old one, and what is
+    looked up in the old one moves back.
+    """
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.half = max(1, limit // 2)
+        self.old: dict[bytes, bytes] = {}
+
+    def renew(self) -> None:
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+
+    def __missing__(self, key: bytes) -> bytes | None:
+        """From the old generation, or None."""
+        found = self.old.get(key)
+        if found is not None:
+            self[key] = found
+        return found
+
+
+def _byte_letters() -> dict[int, int]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it prints, or else the next from 256."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = (b for b in range(256) if b not in own)
+    return {b: b for b in own} | {b: 256 + i for i, b in enumerate(rest)}
+
+
 class WordEncoder:
     """Token ids of texts, the same as the tokenizer's on the whole text.
 
     The vocabulary's pre-tokeniser drops white space and never joins across it, so the ids of a text are
-    those of its words in order.  Words met before are looked up; a worker remembers at most ``limit``.
+    those of its words in order.  A worker remembers about ``limit`` words and as many stems, the words without the
+    punctuation after them.  A new stem of plain letters, which is one pre-token and in normal form, goes to the
+    vocabulary's merges directly; any other new word through the whole tokenizer.
     """
 
     def __init__(self, path: str, limit: int = 500_000):
@@ -43,65 +83,63 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.limit = limit
-        self.known: dict[bytes, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.merges = self.tokenizer.model
+        self.known, self.stems = _Recent(limit), _Recent(limit)
+        self.letters = _byte_letters()
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _letters(self, words: list[bytes]) -> None:
-        """Learns words of letters only, each of which is one pre-token."""
-        for at in range(0, len(words), 4000):
-            part = words[at : at + 4000]
-            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(part):
-                data, start = ids.tobytes(), 0
-                for w, cut in zip(part, cuts.tolist(), strict=True):
-                    self.known[w] = data[4 * start : 4 * cut]
-                    start = cut
-            else:  # a word that falls apart when lower-cased
-                for w in part:
-                    self.known[w] = self.whole(w.decode())
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > self.limit:
-            self.known.clear()
-        split, letters = [], set()
+    def _stem(self, word: bytes) -> bytes:
+        s = word.decode()
+        if not s.isalpha() or not (s.isascii() or _PLAIN.fullmatch(s)):
+            return self.whole(s)
+        if not s.isascii():
+            s = s.lower().encode().decode("latin-1").translate(self.letters)
+        return b"".join([self.packed[t.id] for t in self.merges.tokenize(s)])
+
+    def learn(self, words: Iterable[bytes]) -> None:
+        """Adds lower-case words."""
+        known, stems = self.known, self.stems
         for w in words:
-            if w in self.known:
-                continue
-            s = w.decode()
-            stem = s.rstrip("!\"#$%&()*+,-./:;<=>?@[]^_`{|}~")
-            if stem.isalpha():
-                split.append((w, stem.encode(), s[len(stem) :].encode()))
-                letters.add(split[-1][1])
+            stem = w.rstrip(_PUNCTUATION)
+            n = len(stem)
+            if stem.isalpha() or stem.decode().isalpha():
+                ids = stems[stem]
+                if ids is None:
+                    ids = stems[stem] = self._stem(stem)
+                if n < len(w):
+                    rest = known[w[n:]]
+                    if rest is None:
+                        rest = known[w[n:]] = self.whole(w[n:].decode())
+                    ids += rest
+                known[w] = ids
             else:
-                self.known[w] = self.whole(s)
-        self._letters([w for w in letters if w not in self.known])
-        for w, stem, rest in split:
-            if rest:
-                if rest not in self.known:
-                    self.known[rest] = self.whole(rest.decode())
-                self.known[w] = self.known[stem] + self.known[rest]
+                known[w] = self.whole(w.decode())
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
-        plain = [b"<|" not in t for t in texts]  # special tokens in a text count as such, in this case only
         at = 0
         while at < len(texts):
             stop, size = at, 0
             while stop < len(texts) and size < 1 << 22:
                 size += len(texts[stop])
                 stop += 1
-            words = [t.lower().split() if p else [] for t, p in zip(texts[at:stop], plain[at:stop], strict=True)]
-            self.learn(set().union(*words))
-            ids = self.known
-            for t, p, w in zip(texts[at:stop], plain[at:stop], words, strict=True):
-                yield b"".join(map(ids.__getitem__, w)) if p else self.whole(t.decode())
+            self.known.renew(), self.stems.renew()
+            # special tokens in a text count as such, in this case only
+            words = [[] if b"<|" in t else t.lower().split() for t in texts[at:stop]]
+            every = list(itertools.chain.from_iterable(words))
+            ids = list(map(self.known.__getitem__, every))
+            if None in ids:
+                new = list(itertools.compress(range(len(ids)), map(operator.is_, ids, itertools.repeat(None))))
+                self.learn({every[i] for i in new})
+                for i in new:
+                    ids[i] = self.known[every[i]]
+            first = 0
+            for t, w in zip(texts[at:stop], words, strict=True):
+                yield b"".join(ids[first : first + len(w)]) if b"<|" not in t else self.whole(t.decode())
+                first += len(w)
             at = stop
 
 

@@ -6,7 +6,8 @@ import atexit
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: The most that an Arrow batch to or from a Python worker holds, but for a longer single row.
 BATCH_BYTES = 16 << 20
 
+T = TypeVar("T")
+
 _local_scratch: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
 
@@ -104,6 +107,21 @@ class WordHash(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+_worker_cache: dict[str, object] = {}
+
+
+def worker_cache(name: str, make: Callable[[], T]) -> T:
+    """What this worker remembers from task to task under ``name``; another name's memory goes first, so there is one at a time."""
+    if name not in _worker_cache:
+        _worker_cache.clear()
+        _worker_cache[name] = make()
+    return _worker_cache[name]
+
+
+def word_hash() -> WordHash:
+    return worker_cache("words", lambda: WordHash(limit=250_000))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The 64-bit finaliser of MurmurHash3, elementwise."""
     x = x ^ (x >> np.uint64(33))

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlift.llm.common import WordHash, bitmap, concat, in_bitmap, mix, partitions, rolling, runs, signed, stash, table, text_bytes
+from pairlift.llm.common import WordHash, bitmap, concat, in_bitmap, mix, partitions, rolling, runs, signed, stash, table, text_bytes, word_hash
 from pairlift.llm.components import components
 
 K = 5
@@ -45,12 +45,6 @@ LEVELS = 40
 GROWTH = 1.5
 HOT = 50
 
-_hashes: dict[int, WordHash] = {}
-
-
-def word_hash() -> WordHash:
-    return _hashes.setdefault(0, WordHash(limit=250_000))
-
 
 def shingles(text: bytes, own: WordHash, k: int = K) -> np.ndarray:
     """The sorted distinct shingles; a text of fewer than k words is one shingle, one without words none."""

@@ -1,13 +1,20 @@
 """Language-model scoring with a log-frequency Bloom filter (Talbot and Osborne, 2007).
 
-Counts of tokens and of token pairs come from all training documents.  An n-gram that occurs c times gets
-the level 1 + floor(2 log2 c) and is put into a Bloom filter once for each level up to its own; a reader probes level
-after level until one is missing, so a false positive can only raise a count by a step, and rarely more.
-The filter's size is chosen from the number of entries.  Up to 2**MAX_BITS bits it goes to the workers by broadcast; beyond, it is
-cut into shards by n-gram hash, and the distinct n-grams of each few texts are sent to the shards and their levels back.
+Counts of tokens and of token pairs come from all training documents, in one pass and one shuffle.  The pairs' counts are
+quantised: level j stands for LOW[j - 1] occurrences and more, in steps of about the square root of two.  A pair is put into
+a Bloom filter once for each level up to its own; a reader probes level after level until one is missing.  The
+tokens' counts are exact and lie beside the filter.  Both come in shards by n-gram hash, each sized by what is in it, so
+every pair of every count has its place at any size.  Up to ``MAX_BROADCAST`` bytes the shards go to the workers by
+broadcast; beyond, the distinct n-grams of each few texts are sent to the shards and the answers back.
 
-The probability of a token v after u is smoothed by a Dirichlet prior on the token's own probability:
-(c(u, v) + m P(v)) / (c(u) + m), with P(v) = (c(v) + 0.1) / (N + 0.1 (V + 1)).
+The probability of a token v after u interpolates what followed u with the tokens' own shares,
+
+    p(v | u) = (1 - w) min(LOW / c(u), B_j P(v)) / Z + w P(v),    w = m / (c(u) + m),  P(v) = (c(v) + 0.1) / (N + 0.1 (V + 1)),
+
+and P(v) alone where the filter has no (u, v) or u is unknown.  LOW is no more than the pair's count, so without false positives the
+first part sums to at most 1.  A false positive of level j has a chance of about f ** j, f being the filter's rate, over
+all v; B_j bounds what it can add to B_j P(v), and so all of them together to EXCESS, for which Z makes up.  So over the
+vocabulary and the one unseen token the probabilities after any u sum to at most 1 (in expectation over the filter's hashes).
 
 Tokens and pairs are 64-bit hashes.
 """
@@ -25,29 +32,29 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlift.llm.common import WordHash, mix, partitions, runs, signed, stash, table, text_bytes
+from pairlift.llm.common import concat, mix, partitions, runs, signed, stash, table, text_bytes, word_hash
 
 FOLDS, HELD_OUT = 10, 0
-MIN_PAIR = 1
-PRIOR = 2000.0
+#: The weight m of the tokens' own shares, in tokens.
+PRIOR = 500.0
+EXCESS = 0.2
 BITS_PER_ENTRY = 10
 PROBES = 6
-#: A filter of more than 2**MAX_BITS bits (128 MB) is not broadcast but cut into shards of 2**SHARD_BITS (16 MB).
-MAX_BITS = 30
-SHARD_BITS = 27
-CHUNK_BITS = 20
-#: More distinct tokens than this are joined, not broadcast (16 bytes each).
-MAX_VOCABULARY = 1 << 23
+#: A larger model (bytes) is not broadcast.
+MAX_BROADCAST = 160 << 20
+SHARD_BITS = 13
 
 END = np.uint64(0x3C6EF372FE94F82B)
 START = np.uint64(0xBB67AE8584CAA73B)
 
-_hashes: dict[int, WordHash] = {}
+#: The least count of each level, from level 1.
+LOW = np.unique(np.ceil(2 ** (np.arange(126) / 2) - 1e-9).astype(np.int64))
+COUNT_OF = np.concatenate([[0], LOW])
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of all texts in a row, each text closed by END, and where texts begin (and the end)."""
-    own = _hashes.setdefault(0, WordHash(limit=250_000))
+    own = word_hash()
     words = [t.lower().split() for t in texts]
     size = np.array([len(w) + 1 for w in words], np.int64)
     base = np.concatenate([[0], np.cumsum(size)])
@@ -58,12 +65,12 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, base
 
 
-def pairs(h: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each token the hash of its predecessor and that of the pair."""
+def pairs(h: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """For each token the hash of it and its predecessor."""
     before = np.empty_like(h)
     before[1:] = h[:-1]
     before[base[:-1]] = START
-    return before, mix(before * np.uint64(0x9E3779B97F4A7C15) + h)
+    return mix(before * np.uint64(0x9E3779B97F4A7C15) + h)
 
 
 def _chunks(texts: list[bytes], most: int = 1 << 22) -> Iterator[tuple[int, int]]:
@@ -77,317 +84,296 @@ def _chunks(texts: list[bytes], most: int = 1 << 22) -> Iterator[tuple[int, int]
         at = stop
 
 
-def _count(order: int):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = text_bytes(b.column(0))
-            for at, stop in _chunks(texts, 1 << 24):
-                h, base = tokens(texts[at:stop])
-                if order == 1:
-                    h = np.concatenate([h, np.full(stop - at, START)])
-                else:
-                    h = pairs(h, base)[1]
-                h.sort()
-                cut = runs(h)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(h[cut[:-1]])), pa.array(np.diff(cut))], names=["gram", "n"])
+def level(n: np.ndarray) -> np.ndarray:
+    return np.searchsorted(LOW, n, side="right")
 
-    return work
 
+# counts and shards
 
-def counts(docs: DataFrame, order: int) -> DataFrame:
-    """(gram, n) over all texts; for tokens START counts the texts."""
-    return docs.select("text").mapInArrow(_count(order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, pair, n): the tokens (START for each text) and the pairs of some texts."""
+    for b in batches:
+        texts = text_bytes(b.column(0))
+        for at, stop in _chunks(texts, 1 << 23):
+            h, base = tokens(texts[at:stop])
+            for pair, x in ((False, np.concatenate([h, np.full(stop - at, START)])), (True, pairs(h, base))):
+                x.sort()
+                cut = runs(x)
+                n = len(cut) - 1
+                yield pa.RecordBatch.from_arrays([pa.array(signed(x[cut[:-1]])), pa.array(np.full(n, pair)), pa.array(np.diff(cut))], names=["gram", "pair", "n"])
+
+
+def _summed(gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of n over equal grams, which are sorted."""
+    cut = runs(gram)
+    return gram[cut[:-1]], np.add.reduceat(n, cut[:-1]) if len(gram) else n
 
-def level(n: np.ndarray) -> np.ndarray:
-    return 1 + np.floor(2 * np.log2(n) + 1e-9).astype(np.int64)
 
+def _spots(h: np.ndarray, lev: np.ndarray | int, bits: np.ndarray | int) -> Iterator[np.ndarray]:
+    """The bit positions of (n-gram, level) in a filter of ``bits`` bits (under 2**32), probe by probe."""
+    x = mix(h + np.uint64(0xA24BAED4963EE407) * np.asarray(lev, np.uint64))
+    low, high, bits = x & np.uint64(0xFFFFFFFF), x >> np.uint64(32) | np.uint64(1), np.asarray(bits, np.uint64)
+    for p in range(PROBES):
+        yield ((low + np.uint64(p) * high & np.uint64(0xFFFFFFFF)) * bits >> np.uint64(32)).astype(np.int64)
 
-#: The count that a level stands for: the middle of the counts that have it.
-_LOW = np.ceil(2 ** (np.arange(130) / 2) - 1e-9)
-COUNT_OF = np.concatenate([[0.0], (_LOW[:-1] + np.maximum(_LOW[:-1], _LOW[1:] - 1)) / 2])
 
+def build(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The bits of the filter for distinct n-grams and their counts."""
+    lev = level(n)
+    bits = np.zeros(max(64, -(-int(lev.sum()) * BITS_PER_ENTRY // 8) * 8), bool)
+    own = np.arange(len(h))
+    for step in range(1, int(lev.max(initial=0)) + 1):
+        own = own[lev[own] >= step]
+        for spot in _spots(h[own], step, len(bits)):
+            bits[spot] = True
+    return bits
 
-def _spots(h: np.ndarray, lev: np.ndarray | int, probe: int, bits: int, low: int) -> np.ndarray:
-    """Bit positions; the top bits choose a chunk of 2**low bits by the n-gram alone, so that a task can build it."""
-    chunk = (h >> np.uint64(64 - (bits - low))) if bits > low else np.zeros(len(h), np.uint64)
-    x = mix(h + np.uint64(0xA24BAED4963EE407) * np.asarray(lev, np.uint64) + np.uint64((0x9FB21C651E98DF25 * (probe + 1)) & 0xFFFFFFFFFFFFFFFF))
-    return (chunk << np.uint64(low)) | (x & np.uint64((1 << low) - 1))
+
+SHARDS = "shard long, bits long, ones long, filter binary, words binary, tokens long, kinds long"
+
+
+def _shard(shard: int, gram: np.ndarray, pair: np.ndarray, n: np.ndarray) -> dict[str, list]:
+    h, c = _summed(gram[~pair], n[~pair])
+    bits = build(*_summed(gram[pair], n[pair]))
+    own = h != START
+    return {
+        "shard": [shard], "bits": [len(bits)], "ones": [int(np.count_nonzero(bits))], "filter": [np.packbits(bits, bitorder="little").tobytes()],
+        "words": [h.tobytes() + c.astype(np.int64).tobytes()], "tokens": [int(c[own].sum())], "kinds": [int(own.sum())],
+    }
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (gram, pair, n) sorted by gram, a row for each shard; one shard's distinct n-grams are held at a time."""
+    now, held = None, [[], [], []]
+
+    def closed() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict(_shard(now, *(concat(x, t) for x, t in zip(held, (np.uint64, bool, np.int64), strict=True))))
+
+    for b in batches:
+        gram, pair, n = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy()
+        shard = (gram >> np.uint64(64 - SHARD_BITS)).astype(np.int64)
+        cut = runs(shard)
+        for i, j in zip(cut[:-1], cut[1:], strict=True):
+            if shard[i] != now:
+                if now is not None:
+                    yield closed()
+                now, held = int(shard[i]), [[], [], []]
+            for kind in (False, True):
+                of = np.flatnonzero(pair[i:j] == kind) + i
+                g, c = _summed(gram[of], n[of])
+                held[0].append(g), held[1].append(np.full(len(g), kind)), held[2].append(c)
+    if now is not None:
+        yield closed()
 
 
 class Filter(NamedTuple):
-    """A filter of 2**bits bits, or one of 2**shards shards of that size: that of the n-grams whose top bits are its number."""
+    """Shards of a filter side by side: the bits of each, and where its bytes begin."""
 
-    bits: int
+    bits: np.ndarray
+    first: np.ndarray
     data: np.ndarray
-    shards: int = 0
-
-    def has(self, h: np.ndarray, lev: int) -> np.ndarray:
-        out = np.ones(len(h), bool)
-        left = np.arange(len(h))
-        for p in range(PROBES):
-            s = _spots(h[left], lev, p, self.bits + self.shards, min(CHUNK_BITS, self.bits)) & np.uint64((1 << self.bits) - 1)
-            ok = (self.data[(s >> np.uint64(3)).astype(np.int64)] >> (s & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            out[left[~ok]] = False
-            left = left[ok]
-        return out
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         lev = np.zeros(len(h), np.uint8)
-        left = np.arange(len(h))
-        step = 0
-        while len(left) and step < len(COUNT_OF) - 1:
+        left, step = np.arange(len(h)), 0
+        shard = (h >> np.uint64(64 - SHARD_BITS)).astype(np.int64) if len(self.bits) > 1 else np.zeros(len(h), np.int64)
+        while len(left) and step < len(LOW):
             step += 1
-            left = left[self.has(h[left], step)]
+            own, first = shard[left], self.first[shard[left]]
+            ok = np.ones(len(left), bool)
+            for spot in _spots(h[left], step, self.bits[own]):
+                ok &= (self.data[first + (spot >> 3)] >> (spot & 7).astype(np.uint8)) & 1 == 1
+            left = left[ok]
             lev[left] = step
         return lev
 
-    def count(self, h: np.ndarray) -> np.ndarray:
-        return COUNT_OF[self.levels(h)]
-
 
-class Shards(NamedTuple):
-    """A filter of 2**(bits + shards) bits that no process holds as a whole."""
+class Words(NamedTuple):
+    """Sorted token hashes and their counts."""
 
-    bits: int  # of a shard
-    shards: int
-    chunks: DataFrame  # (chunk, bytes)
+    h: np.ndarray
+    n: np.ndarray
 
+    def count(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.h):
+            return np.zeros(len(h), np.int64)
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        return np.where(self.h[at] == h, self.n[at], 0).astype(np.int64)
 
-def _chunk_rows(grams: DataFrame, bits: int, low: int) -> DataFrame:
-    """(chunk, bytes): the filter of 2**bits bits for (gram, n) in chunks of 2**low; a task builds at most 64 or its share."""
-    top = bits - low
-    chunk = F.shiftrightunsigned("gram", 64 - top) if top else F.lit(0).cast("long")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for b in batches:
-            h, n = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
-            lev = level(n)
-            own = np.repeat(np.arange(len(h)), lev)
-            step = np.arange(len(own)) - np.repeat(np.cumsum(lev) - lev, lev) + 1
-            for p in range(PROBES):
-                s = _spots(h[own], step, p, bits, low)
-                at = (s >> np.uint64(low)).astype(np.int64)
-                order = np.argsort(at, kind="stable")
-                cut = runs(at[order])
-                for i, j in zip(cut[:-1], cut[1:], strict=True):
-                    c = int(at[order[i]])
-                    if c not in held:
-                        held[c] = np.zeros(1 << low >> 3, np.uint8)
-                    spot = s[order[i:j]] & np.uint64((1 << low) - 1)
-                    np.bitwise_or.at(held[c], (spot >> np.uint64(3)).astype(np.int64), np.uint8(1) << (spot & np.uint64(7)).astype(np.uint8))
-        for c, x in held.items():
-            yield pa.RecordBatch.from_pydict({"chunk": [c], "bytes": [x.tobytes()]})
-
-    n = min(1 << top, max(partitions(grams.sparkSession), 1 << top >> 6))
-    return grams.select("gram", "n", chunk.alias("chunk")).repartition(n, "chunk").select("gram", "n").mapInArrow(work, "chunk long, bytes binary")
-
-
-def build(grams: DataFrame, bits: int) -> Filter:
-    """The filter for (gram, n); tasks build chunks of it, and each chunk reaches the driver once."""
-    low = min(CHUNK_BITS, bits)
-    data = np.zeros(1 << bits >> 3, np.uint8)
-    width = 1 << low >> 3
-    for r in _chunk_rows(grams, bits, low).toLocalIterator():  # 2**bits / 8 bytes in all
-        data[r.chunk * width : (r.chunk + 1) * width] = np.frombuffer(r.bytes, np.uint8)
-    return Filter(bits, data)
-
-
-def build_shards(grams: DataFrame, bits: int, shards: int) -> Shards:
-    """The filter for (gram, n), in files."""
-    return Shards(bits, shards, stash(_chunk_rows(grams, bits + shards, min(CHUNK_BITS, bits)), "filter"))
+def _words(data: bytes) -> Words:
+    x = np.frombuffer(data, np.uint64)
+    return Words(x[: len(x) // 2], x[len(x) // 2 :].view(np.int64))
 
 
 class Model(NamedTuple):
-    grams: Filter | Shards
     total: int  # N
     kinds: int  # V
-    words: tuple[np.ndarray, np.ndarray] | None  # sorted token hashes and counts, if few enough
+    rate: float  # of false positives
+    words: Words | None  # None: in the shards
+    grams: Filter | None
 
+    def unigram(self, c: np.ndarray) -> np.ndarray:
+        return (c + 0.1) / (self.total + 0.1 * (self.kinds + 1))
 
-def fit(docs: DataFrame, max_bits: int = MAX_BITS, max_vocabulary: int = MAX_VOCABULARY, min_pair: int = MIN_PAIR) -> tuple[Model, DataFrame]:
-    """The model of all texts of ``docs``, and the token counts it rests on.
+    def probability(self, lev: np.ndarray, c: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Of tokens of count c after tokens of count ``before``, the pairs having these levels."""
+        own = self.unigram(c)
+        j = lev.astype(float)
+        most = np.minimum(EXCESS / 2**j / np.maximum(self.rate, 1e-9) ** j, 1e300)
+        seen = np.minimum(COUNT_OF[lev] / np.maximum(before, 1), most * own) / (1 + EXCESS + 2 * self.rate)
+        w = PRIOR / (before + PRIOR)
+        return np.where(lev > 0, (1 - w) * seen, 0.0) + w * own
 
-    A filter that needs more than 2**max_bits bits is made in shards; it holds every count either way.
+
+def fit(docs: DataFrame, max_broadcast: int = MAX_BROADCAST) -> tuple[Model, DataFrame]:
+    """The model of all texts of ``docs``, and its shards.
+
+    Every count of every token and pair is in it; beyond max_broadcast bytes the shards stay in their table.
     """
-    words = stash(counts(docs, 1), "tokens")
-    two = stash(counts(docs, 2).where(F.col("n") >= min_pair), "pairs")
-    start = F.col("gram") == int(signed(np.array([START]))[0])
-    row = words.where(~start).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    both = words.union(two)
-    entries = F.sum(1 + F.floor(2 * F.log2("n") + 1e-9))
-    need = int(both.agg(F.coalesce(entries, F.lit(0))).first()[0]) * BITS_PER_ENTRY
-    bits = max(10, need.bit_length())
-    if need <= 1 << max_bits:
-        grams = build(both, min(bits, max_bits))
-    else:
-        own = min(SHARD_BITS, max_bits)
-        grams = build_shards(both, own, bits - own)
-    known = None
-    if row.v <= max_vocabulary:
-        rows = words.where(~start).toArrow()  # at most max_vocabulary rows of 16 bytes
-        h = rows.column("gram").to_numpy().view(np.uint64)
-        order = np.argsort(h)
-        known = h[order], rows.column("n").to_numpy()[order]
-    return Model(grams, int(row.n), int(row.v), known), words.where(~start)
-
-
-def unigram(c: np.ndarray, m: Model) -> np.ndarray:
-    return (c + 0.1) / (m.total + 0.1 * (m.kinds + 1))
-
-
-def _known(h: np.ndarray, base: np.ndarray, m: Model) -> tuple[np.ndarray | None, np.ndarray | None]:
-    """For each text known tokens and base score, if the model has the words."""
-    if m.words is None:
-        return None, None
-    own, n = m.words
-    kind, back = np.unique(h, return_inverse=True)
-    at = np.minimum(np.searchsorted(own, kind), max(0, len(own) - 1))
-    c = np.where(own[at] == kind, n[at], 0)[back] if len(own) else np.zeros(len(h), np.int64)
-    return np.add.reduceat((c > 0).astype(np.int64), base[:-1]), np.add.reduceat(np.log10(unigram(c, m)), base[:-1])
+    counted = docs.select("text").mapInArrow(_count, "gram long, pair boolean, n long")
+    n = min(1 << SHARD_BITS, partitions(docs.sparkSession))
+    dealt = counted.repartition(n, F.shiftrightunsigned("gram", 64 - SHARD_BITS)).sortWithinPartitions("gram")
+    shards = stash(dealt.mapInArrow(_shards, SHARDS), "lm-shards")
+    size = F.sum(F.octet_length("filter") + F.octet_length("words"))
+    row = shards.agg(*[F.coalesce(x, F.lit(0)) for x in (F.sum("tokens"), F.sum("kinds"), F.sum("bits"), F.sum("ones"), size)]).first()
+    model = Model(int(row[0]), int(row[1]), (row[3] / max(1, row[2])) ** PROBES, None, None)
+    if row[4] > max_broadcast:
+        return model, shards
+    found = {r.shard: r for r in shards.select("shard", "bits", "filter", "words").toLocalIterator()}  # at most max_broadcast bytes
+    bits, parts = np.zeros(1 << SHARD_BITS, np.int64), [b""] * (1 << SHARD_BITS)
+    for k, r in found.items():
+        bits[k], parts[k] = r.bits, bytes(r.filter)
+    # a shard without n-grams is a filter of eight zero bits
+    parts, bits = [p or b"\0" for p in parts], np.maximum(bits, 8)
+    first = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]])
+    own = [_words(bytes(found[k].words)) for k in sorted(found)]
+    words = Words(concat([x.h for x in own], np.uint64), concat([x.n for x in own], np.int64))
+    if not len(words.n) or words.n.max() < 1 << 32:
+        words = Words(words.h, words.n.astype(np.uint32))
+    return model._replace(words=words, grams=Filter(bits, first, np.frombuffer(b"".join(parts), np.uint8))), shards
+
+
+# scores
+
+SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
-def _smoothed(soft: np.ndarray, joint: np.ndarray, start: float, base: np.ndarray, m: Model) -> np.ndarray:
-    """log10 probability of each text, from its tokens' and pairs' counts and that of START."""
-    seen = np.empty(len(soft))
-    seen[1:] = soft[:-1]
-    seen[base[:-1]] = start
-    p = (np.minimum(joint, seen) + PRIOR * unigram(soft, m)) / (seen + PRIOR)
-    return np.add.reduceat(np.log10(p), base[:-1])
+def _scored(m: Model, base: np.ndarray, c: np.ndarray, start: int, lev: np.ndarray) -> list[np.ndarray]:
+    """Tokens, known tokens, base score and score of each text, from its tokens' counts, that of START and its pairs' levels."""
+    before = np.empty_like(c)
+    before[1:] = c[:-1]
+    before[base[:-1]] = start
+    sums = [(c > 0).astype(np.int64), np.log10(m.unigram(c)), np.log10(m.probability(lev, c, before))]
+    return [np.diff(base), *(np.add.reduceat(x, base[:-1]) for x in sums)]
 
 
-def score_texts(texts: list[bytes], m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]:
-    """For each text: tokens, the model's log10 probability, and if the model has the words, known tokens and base score."""
+def score_texts(texts: list[bytes], m: Model) -> list[np.ndarray]:
     h, base = tokens(texts)
     kind, back = np.unique(h, return_inverse=True)
-    soft = m.grams.count(kind)[back]
-    score = _smoothed(soft, m.grams.count(pairs(h, base)[1]), m.grams.count(np.array([START]))[0], base, m)
-    return np.diff(base), score, *_known(h, base, m)
+    gram, place = np.unique(pairs(h, base), return_inverse=True)
+    return _scored(m, base, m.words.count(kind)[back], int(m.words.count(np.array([START]))[0]), m.grams.levels(gram)[place])
 
 
-SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
-
-
-def _scores(ids: pa.Array, n: np.ndarray, known: np.ndarray | None, plain: np.ndarray | None, score: np.ndarray) -> pa.RecordBatch:
-    none = [None] * len(n)
-    return pa.RecordBatch.from_arrays([
-        ids, pa.array(n), pa.array(none if known is None else known, pa.int64()), pa.array(none if plain is None else plain, pa.float64()), pa.array(score),
-    ], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+def _rows(ids: pa.Array, found: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, *map(pa.array, found)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
 
 def _by_broadcast(rows: DataFrame, model: Model) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(model)  # bounded by max_bits and max_vocabulary
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # bounded by max_broadcast
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
             texts, ids = text_bytes(b.column(1)), b.column(0)
             for at, stop in _chunks(texts):
-                n, s, known, plain = score_texts(texts[at:stop], m)
-                yield _scores(ids.slice(at, stop - at), n, known, plain, s)
+                yield _rows(ids.slice(at, stop - at), score_texts(texts[at:stop], m))
 
     return rows.mapInArrow(work, SCORES)
 
 
-def _by_shards(rows: DataFrame, model: Model) -> DataFrame:
-    """As _by_broadcast, with the filter in shards.
+def _by_shards(rows: DataFrame, model: Model, shards: DataFrame) -> DataFrame:
+    """As _by_broadcast, with the counts in shards.
 
-    Groups of texts become a row that knows each token's and pair's place among the group's distinct n-grams (shard -1), and a row
-    of these n-grams for each shard.  The shards return levels, and each group's rows meet again.
+    Groups of texts become a row that knows each token's and pair's place among the group's distinct ones (shard -1), and a row
+    of these for each shard.  The shards return counts and levels, and each group's rows meet again.
     """
     spark = rows.sparkSession
-    bits, shards, chunks = model.grams
-    low = min(CHUNK_BITS, bits)
-    shared = spark.sparkContext.broadcast(model._replace(grams=None))  # bounded by max_vocabulary
+    names = ["group", "shard", "words", "grams"]
+    schema = "group long, shard long, words binary, grams binary"
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         pack = zstandard.ZstdCompressor(1)
         for b in batches:
             texts, ids = text_bytes(b.column(1)), b.column(0)
-            for at, stop in _chunks(texts):
+            for at, stop in _chunks(texts, 1 << 23):
                 h, base = tokens(texts[at:stop])
-                every, back = np.unique(np.concatenate([h, pairs(h, base)[1], [START]]), return_inverse=True)
-                own = pickle.dumps((ids.slice(at, stop - at).to_pylist(), base, back.astype(np.int32), *_known(h, base, m)))
-                shard = (every >> np.uint64(64 - shards)).astype(np.int64)
-                cut = runs(shard)
-                data = [pack.compress(own), *(every[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True))]
-                group = np.full(len(data), uuid.uuid4().int >> 65, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(group), pa.array([-1, *shard[cut[:-1]].tolist()], pa.int64()), pa.array(data, pa.binary())], names=["group", "shard", "data"])
+                kind, back = np.unique(np.append(h, START), return_inverse=True)
+                gram, place = np.unique(pairs(h, base), return_inverse=True)
+                own = pickle.dumps((ids.slice(at, stop - at).to_pylist(), base, back.astype(np.int32), place.astype(np.int32)))
+                edges = np.arange(1, 1 << SHARD_BITS).astype(np.uint64) << np.uint64(64 - SHARD_BITS)
+                cut = [np.concatenate([[0], np.searchsorted(x, edges), [len(x)]]) for x in (kind, gram)]
+                asked = np.flatnonzero(np.diff(cut[0]) + np.diff(cut[1]))
+                parts = [[x[c[k] : c[k + 1]].tobytes() for k in asked] for x, c in zip((kind, gram), cut, strict=True)]
+                group = np.full(len(asked) + 1, uuid.uuid4().int >> 65, np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(group), pa.array([-1, *asked.tolist()], pa.int64()), pa.array([pack.compress(own), *parts[0]], pa.binary()), pa.array([b"", *parts[1]], pa.binary())], names=names
+                )
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, width = -1, np.zeros(1 << bits >> 3, np.uint8), 1 << low >> 3
+        now, words, grams = -1, None, None
+        none = Words(np.zeros(0, np.uint64), np.zeros(0, np.int64)), Filter(np.array([8]), np.array([0]), np.zeros(1, np.uint8))
         for b in batches:
-            groups, numbers, found = [], [], []
-            for shard, chunk, group, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            out = []
+            for shard, group, bits, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if shard != now:
-                    now = shard
-                    held[:] = 0
+                    now, (words, grams) = shard, none
                 if group is None:
-                    at = (chunk & ((1 << (bits - low)) - 1)) * width
-                    held[at : at + width] = np.frombuffer(data, np.uint8)
+                    words, grams = _words(x), Filter(np.array([bits]), np.array([0]), np.frombuffer(y, np.uint8))
                 else:
-                    groups.append(group), numbers.append(shard), found.append(Filter(bits, held, shards).levels(np.frombuffer(data, np.uint64)).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(numbers, pa.int64()), pa.array(found, pa.binary())], names=["group", "shard", "data"])
+                    out.append((group, shard, words.count(np.frombuffer(x, np.uint64)).tobytes(), grams.levels(np.frombuffer(y, np.uint64)).tobytes()))
+            cols = list(zip(*out, strict=True)) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=names)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         unpack = zstandard.ZstdDecompressor()
 
-        def finish(own: bytes, levels: list[bytes]) -> pa.RecordBatch:
-            ids, base, back, known, plain = pickle.loads(unpack.decompress(own))
-            c = COUNT_OF[np.frombuffer(b"".join(levels), np.uint8)][back]
-            n = int(base[-1])
-            return _scores(pa.array(ids, pa.int64()), np.diff(base), known, plain, _smoothed(c[:n], c[n:-1], c[-1], base, m))
+        def finish(own: bytes, counts: list[bytes], levels: list[bytes]) -> pa.RecordBatch:
+            ids, base, back, place = pickle.loads(unpack.decompress(own))
+            c = np.frombuffer(b"".join(counts), np.int64)[back]
+            lev = np.frombuffer(b"".join(levels), np.uint8)[place]
+            return _rows(pa.array(ids, pa.int64()), _scored(model, base, c[:-1], int(c[-1]), lev))
 
-        own, levels = None, []
+        own, counts, levels = None, [], []
         for b in batches:
-            for shard, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for shard, x, y in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
                 if shard >= 0:
-                    levels.append(data)
+                    counts.append(x), levels.append(y)
                     continue
                 if own is not None:
-                    yield finish(own, levels)
-                own, levels = data, []
+                    yield finish(own, counts, levels)
+                own, counts, levels = x, [], []
         if own is not None:
-            yield finish(own, levels)
-
-    asked = stash(rows.mapInArrow(ask, "group long, shard long, data binary"), "probes")
-    held = chunks.select(F.shiftright("chunk", bits - low).alias("shard"), "chunk", F.lit(None).cast("long").alias("group"), F.col("bytes").alias("data"))
-    met = held.union(asked.where("shard >= 0").select("shard", F.lit(None).cast("long"), "group", "data"))
-    met = met.repartition(max(partitions(spark), 1 << shards), "shard").sortWithinPartitions("shard", F.col("group").asc_nulls_first())
-    found = met.mapInArrow(look, "group long, shard long, data binary").union(asked.where("shard < 0"))
+            yield finish(own, counts, levels)
+
+    asked = stash(rows.mapInArrow(ask, schema), "probes")
+    none = F.lit(None).cast("long")
+    met = shards.select("shard", none.alias("group"), "bits", "words", F.col("filter").alias("grams"))
+    met = met.union(asked.where("shard >= 0").select("shard", "group", none, "words", "grams"))
+    met = met.repartition(min(1 << SHARD_BITS, partitions(spark)), "shard").sortWithinPartitions("shard", F.col("group").asc_nulls_first())
+    found = met.mapInArrow(look, schema).union(asked.where("shard < 0"))
     return found.repartition(partitions(spark), "group").sortWithinPartitions("group", "shard").mapInArrow(merge, SCORES)
 
 
-def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
+def score(docs: DataFrame, model: Model, shards: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score for each row of ``docs`` (doc_id, text).
 
     Null texts count as empty, and an empty text is its end token.  Repeated rows repeat; other columns are ignored;
     an empty table gives none.  Training tables without rows leave the prior: every token 0.1 / 0.1.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scores = _by_shards if isinstance(model.grams, Shards) else _by_broadcast
-    if model.words is not None:
-        return scores(rows, model)
-    # Too many distinct tokens to broadcast: each document's tokens meet their counts in a join.
-    numbered = stash(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
-    scored = scores(numbered.select(F.col("row").alias("doc_id"), "text"), model).select(F.col("doc_id").alias("row"), "n_tokens", "score")
-
-    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r, t in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), strict=True):
-                h, n = np.unique(tokens([t])[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), r)), pa.array(signed(h)), pa.array(n)], names=["row", "gram", "times"])
-
-    bag = numbered.select("row", "text").mapInArrow(bags, "row long, gram long, times long").join(words, "gram", "left")
-    c = F.coalesce("n", F.lit(0))
-    base = bag.groupBy("row").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("times") * F.log10((c + 0.1) / F.lit(model.total + 0.1 * (model.kinds + 1)))).alias("base_score"),
-    )
-    return numbered.select("row", "doc_id").join(scored, "row").join(base, "row").select("doc_id", "n_tokens", "n_known", "base_score", "score")
+    return _by_shards(rows, model, shards) if model.words is None else _by_broadcast(rows, model)
 
 
 def held_out(doc_id) -> F.Column:
@@ -396,7 +382,7 @@ def held_out(doc_id) -> F.Column:
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model, words = fit(docs.where(~held_out(F.col("doc_id"))))
-    return score(docs, model, words).select(
+    model, shards = fit(docs.where(~held_out(F.col("doc_id"))))
+    return score(docs, model, shards).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score"
     )

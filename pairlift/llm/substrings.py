@@ -9,10 +9,14 @@ last.  A word is removed if a k-mer over it also starts in a document with a sma
 * Equal edges meet in a shuffle, sorted by document.  Those outside the least document are repeats.  Where a smaller
   document has the same next word, too, the next edge is a repeat as well, and likewise before; so repeats compact to
   paths, and only the ends of a path are written, as (document, position, start or end).  Edges with
-  very many occurrences are dealt out over tasks and settled by grouped minima and joins.
+  very many occurrences are dealt out over tasks.  Each task drops what is inside a path by its own rows alone; the few
+  that are left, the least of each part and what may be an end, are settled by grouped minima and joins.
 * The path ends of a document are joined with its text; the words between a start and its end go.
 
-K-mers are compared by a 64-bit hash and verified by a second of 32 bits, anchors by 64 bits.
+K-mers are compared by a 64-bit hash and verified by a second of 32 bits, anchors and neighbouring words by 64 bits.
+
+A row is known by ``id``; ``doc`` is the order of its doc_id, which several rows may share.  Where doc_ids are
+unique, ``id`` is both.
 """
 
 from __future__ import annotations
@@ -24,24 +28,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from pairlift.llm.common import WordHash, bitmap, concat, in_bitmap, mix, partitions, runs, signed, stash, table, text_bytes
+from pairlift.llm.common import bitmap, concat, in_bitmap, mix, partitions, runs, signed, stash, table, text_bytes, word_hash
 
 K = 50
 ANCHOR = 20
-#: An edge with more occurrences is dealt out over several tasks.
-HOT = 100_000
-#: A run of equal edges with more rows than this is settled by joins, too.
-HELD = 1_000_000
-SHIFT = 20
+#: An edge in more documents is dealt out over several tasks.
+HOT = 10_000
+#: A run of equal edges with more rows than this is taken up in parts, too.
+HELD = 200_000
+LAST = (1 << 63) - 1
 
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
-_hashes: dict[int, WordHash] = {}
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
-    return _hashes.setdefault(0, WordHash(limit=250_000)).of(words)
+    return word_hash().of(words)
 
 
 _powers: list[tuple[np.ndarray, np.ndarray]] = []
@@ -82,28 +84,39 @@ def anchors(h: np.ndarray, k: int, anchor: int) -> np.ndarray:
 
 
 def _anchors(k: int, anchor: int):
+    """Rows (id, doc if it is there, anchor); the text is the last column."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, found = [], []
-            for i, t in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), strict=True):
+            names = b.schema.names[:-1]
+            found, size = [], []
+            for t in text_bytes(b.column(len(names))):
                 words = t.split()
-                if len(words) >= k:
-                    own = np.unique(anchors(_word_hashes(words), k, anchor))
-                    found.append(own)
-                    ids.append(np.full(len(own), i, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(concat(ids, np.int64)), pa.array(signed(concat(found, np.uint64)))], names=["id", "anchor"])
+                own = np.unique(anchors(_word_hashes(words), k, anchor)) if len(words) >= k else np.zeros(0, np.uint64)
+                found.append(own), size.append(len(own))
+            keys = [pa.array(np.repeat(b.column(i).to_numpy(), size)) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(signed(concat(found, np.uint64)))], names=[*names, "anchor"])
 
     return work
 
 
-def _edges(k: int, anchor: int):
-    """Rows (edge, check, salt, id, pos, before, after) for the k-mers with listed anchors."""
-    names = ["edge", "check", "salt", "id", "pos", "before", "after"]
+#: An occurrence of an edge, in the part ``salt`` of it; ``before`` and ``after`` are the words beside it, 0 for none.
+KEY, PLACE = "edge long, check int, salt int, ", "pos int, before long, after long"
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ") if c]
+
+
+def _edges(k: int, anchor: int, who: str):
+    """Rows (KEY, who, PLACE) for the k-mers with listed anchors."""
+    names = _names(KEY + who + PLACE)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             held: list[list[np.ndarray]] = [[] for _ in names]
-            for i, t, listed in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
+            keys_of = list(zip(*(b.column(c).to_pylist() for c in _names(who)), strict=True))
+            for own_ids, t, listed in zip(keys_of, text_bytes(b.column("text")), b.column("listed").to_pylist(), strict=True):
                 h = _word_hashes(t.split())
                 keys = np.array([x["anchor"] for x in listed], np.int64)
                 parts = np.array([x["parts"] for x in listed], np.int64)
@@ -114,14 +127,13 @@ def _edges(k: int, anchor: int):
                 pos = np.flatnonzero(keys[at] == own)
                 if not len(pos):
                     continue
-                short = (mix(h ^ np.uint64(0xA5A5A5A5)) >> np.uint64(32)).astype(np.int64) + 1
-                around = np.concatenate([np.zeros(1, np.int64), short, np.zeros(1, np.int64)])
+                around = np.concatenate([np.zeros(1, np.uint64), mix(h ^ np.uint64(0xA5A5A5A5)) | np.uint64(1), np.zeros(1, np.uint64)])
                 n_parts = parts[at[pos]]
-                spread = int(mix(np.array([i], np.int64).view(np.uint64))[0] >> np.uint64(1))
+                spread = int(mix(np.array(own_ids[:1], np.int64).view(np.uint64))[0] >> np.uint64(1))
                 rows = (
                     signed(windows(h, k))[pos], (windows(h, k, 1)[pos] >> np.uint64(32)).astype(np.uint32).view(np.int32),
-                    np.where(n_parts > 1, spread % n_parts + 1, 0).astype(np.int32), np.full(len(pos), i, np.int64), pos.astype(np.int32),
-                    (around[pos] & 0xFFFFFFFF).astype(np.uint32).view(np.int32), (around[pos + k + 1] & 0xFFFFFFFF).astype(np.uint32).view(np.int32),
+                    np.where(n_parts > 1, spread % n_parts + 1, 0).astype(np.int32), *(np.full(len(pos), i, np.int64) for i in own_ids), pos.astype(np.int32),
+                    signed(around[pos]), signed(around[pos + k + 1]),
                 )
                 for have, x in zip(held, rows, strict=True):
                     have.append(x)
@@ -134,9 +146,6 @@ def _edges(k: int, anchor: int):
     return work
 
 
-EDGES = "edge long, check int, salt int, id long, pos int, before int, after int"
-
-
 def _continued(doc: np.ndarray, run: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Whether a smaller document of the run has the same neighbouring word; 0 is none."""
     order = np.lexsort((word, run))
@@ -147,75 +156,68 @@ def _continued(doc: np.ndarray, run: np.ndarray, word: np.ndarray) -> np.ndarray
     return out & (word != 0)
 
 
-def _paths(shift: int):
+def _paths(who: str):
     """Of sorted edge rows the path ends, with kind 1 for a start, 2 for an end and 3 for both.
 
     A repeat is no end of its path if a smaller document has the next word, too; then the next edge is a
-    repeat as well.  Rows of dealt-out edges, and of runs too long to hold, come out unsettled, as kind 0.
+    repeat as well.  That holds in a part of an edge's rows, too; what a part alone does not show to be inside a
+    path comes out unsettled, as kind 0.
     """
-
-    def settle(c: list[np.ndarray]) -> list[np.ndarray]:
-        edge, check, salt, ids, pos, before, after = c
-        at = runs(edge, check, salt)
-        start, size = at[:-1], np.diff(at)
-        run = np.repeat(np.arange(len(start)), size)
-        doc = ids >> shift
-        repeat = doc > doc[start][run]
-        kind = (~_continued(doc, run, before)).astype(np.int32) + 2 * (~_continued(doc, run, after)).astype(np.int32)
-        kind[salt > 0] = 0
-        out = (repeat & (kind > 0)) | (salt > 0)
-        return [x[out] for x in (edge, check, ids, pos, before, after, kind)]
-
-    def unsettled(c: list[np.ndarray]) -> list[np.ndarray]:
-        return [*c[:2], *c[3:], np.zeros(len(c[0]), np.int32)]
-
-    names = ["edge", "check", "id", "pos", "before", "after", "kind"]
+    given = _names(KEY + who + PLACE)
+    names = [c for c in given if c != "salt"] + ["kind"]
+
+    def settle(c: list[np.ndarray], whole: bool) -> pa.RecordBatch:
+        own = dict(zip(given, c, strict=True))
+        at = runs(own["edge"], own["check"], own["salt"])
+        run = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        doc = own["doc"] if "doc" in own else own["id"]
+        repeat = doc > np.minimum.reduceat(doc, at[:-1])[run]
+        kind = (~_continued(doc, run, own["before"])).astype(np.int32) + 2 * (~_continued(doc, run, own["after"])).astype(np.int32)
+        part = (own["salt"] > 0) | (not whole)
+        out = (repeat | part) & ((kind > 0) | ~repeat)
+        own["kind"] = np.where(part, 0, kind).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(own[n][out]) for n in names], names=names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
-        spilled = None  # the key of a run that was too long to hold
+        begun = None  # the key of a run that is too long to hold
         for b in batches:
             c = [x.to_numpy() for x in b.columns]
             if held is not None:
                 c = [np.concatenate([x, y]) for x, y in zip(held, c, strict=True)]
-            held, out = None, []
-            if spilled is not None and len(c[0]):
-                inside = (c[0] == spilled[0]) & (c[1] == spilled[1]) & (c[2] == spilled[2])
+            held = None
+            if begun is not None and len(c[0]):
+                inside = (c[0] == begun[0]) & (c[1] == begun[1]) & (c[2] == begun[2])
                 n = len(inside) if inside.all() else int(np.argmin(inside))
-                out.append(unsettled([x[:n] for x in c]))
+                if n:
+                    yield settle([x[:n] for x in c], False)
                 c = [x[n:] for x in c]
             if len(c[0]):
-                spilled = None
+                begun = None
                 cut = int(runs(c[0], c[1], c[2])[-2])
                 if cut:
-                    out.append(settle([x[:cut] for x in c]))
+                    yield settle([x[:cut] for x in c], True)
                 held = [x[cut:] for x in c]
                 if len(held[0]) > HELD:
-                    spilled = held[0][0], held[1][0], held[2][0]
-                    out.append(unsettled(held))
+                    begun = held[0][0], held[1][0], held[2][0]
+                    yield settle(held, False)
                     held = None
-            for rows in out:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=names)
         if held is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in settle(held)], names=names)
+            yield settle(held, True)
 
     return work
 
 
-PATHS = "edge long, check int, id long, pos int, before int, after int, kind int"
-
-
-def _settle_hot(rows: DataFrame, shift: int) -> DataFrame:
-    """(id, pos, kind) for the unsettled rows: least documents by edge and neighbouring word, found in tasks
-    before the shuffle, and joined back; AQE splits the joins' large partitions."""
+def _settle_parts(rows: DataFrame, doc: str) -> DataFrame:
+    """(id, pos, kind) for unsettled rows.  The least document of an edge, and that of an edge with a neighbouring word, is
+    the least of its part and so among them; minima are found in tasks before the shuffle and joined back."""
     edge = ["edge", "check"]
-    doc = F.shiftright("id", shift)
-    out = rows.withColumn("doc", doc)
+    out = rows
     for side in ("before", "after"):
         first = rows.where(F.col(side) != 0).groupBy(*edge, side).agg(F.min(doc).alias(f"first_{side}"))
         out = out.join(first, [*edge, side], "left")
-    out = out.join(rows.groupBy(*edge).agg(F.min(doc).alias("first")), edge).where("doc > first")
-    ends = [F.when(F.col("doc") > F.col(f"first_{s}"), 0).otherwise(x) for s, x in (("before", 1), ("after", 2))]
+    out = out.join(rows.groupBy(*edge).agg(F.min(doc).alias("first")), edge).where(F.col(doc) > F.col("first"))
+    ends = [F.when(F.col(doc) > F.col(f"first_{s}"), 0).otherwise(x) for s, x in (("before", 1), ("after", 2))]
     return out.select("id", "pos", (ends[0] + ends[1]).cast("int").alias("kind")).where("kind > 0")
 
 
@@ -247,32 +249,36 @@ def _cut(k: int):
 
 
 def _among(docs: DataFrame, ids: DataFrame, bits: int) -> DataFrame:
-    """The rows of ``docs`` (id, text) whose id may be among ``ids``; no shuffle of texts."""
-    wanted = bitmap(ids.select(F.xxhash64("id").alias("h")), bits)
+    """The rows of ``docs`` (id and others) whose id may be among ``ids``; no shuffle of texts."""
+    wanted, names = bitmap(ids.select(F.xxhash64("id").alias("h")), bits), docs.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = in_bitmap(wanted, bits, b.column("h").to_numpy().view(np.uint64))
-            yield b.filter(pa.array(keep)).select(["id", "text"])
+            yield b.filter(pa.array(keep)).select(names)
 
-    return docs.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(work, "id long, text string")
+    return docs.withColumn("h", F.xxhash64("id")).mapInArrow(work, docs.schema)
 
 
-def removed(docs: DataFrame, k: int = K, anchor: int = ANCHOR, shift: int = 0, filter_bits: int = 23) -> DataFrame:
-    """id, n_removed and kept text, for those rows of ``docs`` (id, text) that lose words."""
+def removed(docs: DataFrame, k: int = K, anchor: int = ANCHOR, filter_bits: int = 23) -> DataFrame:
+    """id, n_removed and kept text, for those rows of ``docs`` (id, doc unless it is the id, text) that lose words."""
     n = partitions(docs.sparkSession)
-    own = stash(docs.mapInArrow(_anchors(k, anchor), "id long, anchor long"), "anchors")
-    repeated = own.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"))
-    repeated = repeated.where(F.shiftright("lo", shift) < F.shiftright("hi", shift)).select("anchor", F.ceil(F.col("n") / HOT).cast("long").alias("parts"))
+    doc = "doc" if "doc" in docs.columns else "id"
+    who = "id long, doc long, " if doc == "doc" else "id long, "
+    docs = docs.select(*dict.fromkeys(["id", doc]), "text")
+    own = stash(docs.mapInArrow(_anchors(k, anchor), who + "anchor long"), "anchors")
+    repeated = own.groupBy("anchor").agg(F.min(doc).alias("lo"), F.max(doc).alias("hi"), F.count("*").alias("n"))
+    repeated = repeated.where("lo < hi").select("anchor", F.ceil(F.col("n") / HOT).cast("long").alias("parts"))
     listed = own.join(repeated, "anchor").groupBy("id").agg(F.collect_list(F.struct("anchor", "parts")).alias("listed"))
     listed = stash(listed, "listed")  # a row per document, bounded by its length
-    edges = _among(docs, listed, filter_bits).join(listed, "id").select("id", "text", "listed").mapInArrow(_edges(k, anchor), EDGES)
-    ends = edges.repartition(n, "edge", "salt").sortWithinPartitions("edge", "check", "salt", "id", "pos").mapInArrow(_paths(shift), PATHS)
+    edges = _among(docs, listed, filter_bits).join(listed, "id").select(*docs.columns, "listed").mapInArrow(_edges(k, anchor, who), KEY + who + PLACE)
+    kinds = KEY.replace("salt int, ", "") + who + PLACE + ", kind int"
+    ends = edges.repartition(n, "edge", "salt").sortWithinPartitions("edge", "check", "salt").mapInArrow(_paths(who), kinds)
     ends = stash(ends, "ends")
-    hot = ends.where("kind = 0").drop("kind")
-    ends = ends.where("kind > 0").select("id", "pos", "kind").union(_settle_hot(hot, shift))
+    parts = ends.where("kind = 0").drop("kind")
+    ends = ends.where("kind > 0").select("id", "pos", "kind").union(_settle_parts(parts, doc))
     ends = stash(ends.groupBy("id").agg(F.collect_set(F.struct("pos", "kind")).alias("ends")), "path-ends")
-    return _among(docs, ends, filter_bits).join(ends, "id").select("id", "text", "ends").mapInArrow(_cut(k), "id long, n_removed long, kept string")
+    return _among(docs.select("id", "text"), ends, filter_bits).join(ends, "id").select("id", "text", "ends").mapInArrow(_cut(k), "id long, n_removed long, kept string")
 
 
 def deduplicate(docs: DataFrame, k: int = K, anchor: int = ANCHOR) -> DataFrame:
@@ -281,22 +287,21 @@ def deduplicate(docs: DataFrame, k: int = K, anchor: int = ANCHOR) -> DataFrame:
     removed() returns the texts that are left.
 
     Null texts count as empty; texts of fewer than k words lose nothing.  A null doc_id counts as larger than any other.
-    Rows that share a doc_id are documents of their own, and none of them takes words from another.  Other columns
+    Rows that share a doc_id, or have none, are documents of their own, and none of them takes words from another.  Other columns
     are ignored; an empty table gives none.
     """
-    ids = docs.groupBy("doc_id").count().where("count > 1")
-    shift = 0 if ids.isEmpty() else SHIFT
-    most = F.lit((1 << 62) >> shift)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if shift:
-        nth = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("text")) - 1
-        rows = stash(rows.withColumn("nth", nth), "numbered")
-        rows = rows.withColumn("id", F.shiftleft(F.coalesce("doc_id", most), shift) + F.col("nth"))
+    # a null id comes after all others: it stands as LAST, and for that a real LAST moves down with all ids
+    most = rows.agg(F.max("doc_id")).first()[0]
+    order = F.coalesce(F.col("doc_id") - (1 if most == LAST else 0), F.lit(LAST))
+    if rows.groupBy("doc_id").count().where("count > 1").isEmpty():
+        rows = rows.withColumn("id", order)
+        given = rows.select("id", "text")
     else:
-        rows = rows.withColumn("id", F.coalesce("doc_id", most))
+        rows = stash(rows.withColumn("id", F.monotonically_increasing_id()), "numbered")  # the write fixes the numbers
+        given = rows.select("id", order.alias("doc"), "text")
     base = rows.select("doc_id", "id", "text").mapInArrow(_plain, "doc_id long, id long, n_words long, kept_sha256 string")
-    cut = removed(rows.select("id", "text").dropDuplicates(["id"]) if shift else rows.select("id", "text"), k, anchor, shift)
-    cut = cut.select("id", "n_removed", F.sha2("kept", 256).alias("cut_sha256"))
+    cut = removed(given, k, anchor).select("id", "n_removed", F.sha2("kept", 256).alias("cut_sha256"))
     return base.join(cut, "id", "left").select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("cut_sha256", "kept_sha256").alias("kept_sha256")
     )

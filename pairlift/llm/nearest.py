@@ -1,13 +1,17 @@
 """Approximate nearest neighbours by inner product: score-aware (anisotropic) quantisation.
 
-After Guo and others (2020).  Vectors are quantised in subspaces of two dimensions with 16 centroids each, four bits.  The loss weighs the
-part of the residual that is parallel to the vector ``eta`` times as much as the rest, since that part changes large inner
-products most; codebooks and codes are fitted for that loss.  A search adds up a query's table
-entries for the codes, two codes (a byte) at a time, over every indexed row, and keeps the best ``rerank``; those are
-scored exactly, in double precision, on the original vectors.
-
-Equal vectors are indexed once and a query vector is searched once, however often it occurs.  Queries and rows meet in
-blocks: a block of 256 query vectors is dealt to each block of 65,536 rows' codes.
+After Guo and others (2020).  Directions are quantised in subspaces of two dimensions with 16 centroids each, four bits; norms
+stay as they are.  The loss weighs the part of the residual that is parallel to the vector ``eta`` times as much as the rest, since
+that part changes large inner products most; codebooks and codes are fitted for that loss.  A search adds up a query's table
+entries for the codes, two codes (a byte) at a time.  What a row's residual may add to or take from that sum, at ``SPREAD``
+standard deviations of a random direction, tells which rows may be among the best; all of those are scored exactly, however many there
+are (in a crowd of near copies, all of it), in double precision on the original vectors.
+
+Rows lie in cells, by the nearest of centroids fitted on the sample, and a query only meets the cells whose centroids are
+most like it.  How many is measured: as many as hold ``WITHIN`` of the best rows of some vectors of the sample.  Large cells are dealt
+out in blocks of ``BLOCK`` numbers.
+
+Equal vectors are indexed once and a query vector is searched once, however often it occurs.
 """
 
 from __future__ import annotations
@@ -25,10 +29,12 @@ from pairlift.llm.common import partitions, stash, table
 
 TOP = 20
 EVERY = 20
-RERANK = 400
-#: Vectors that the codebooks are fitted on: those with the least hash.
+#: Vectors that the codebooks and cells are fitted on: those with the least hash.
 SAMPLE = 8192
-ROWS, QUERIES = 1 << 16, 256
+#: Rows for each cell that is aimed at, cells at most, numbers in a block of rows, queries scanned at a time.
+CELL, CELLS, BLOCK, QUERIES = 8192, 512, 1 << 21, 256
+SPREAD = 4.0
+WITHIN = 0.99
 #: Inner products above this share of the norms matter; it sets eta.
 THRESHOLD = 0.2
 
@@ -105,86 +111,150 @@ def fit(x: np.ndarray, rounds: int = 4, seed: int = 3) -> Codebooks:
     return books
 
 
-def scan(tables: np.ndarray, codes: np.ndarray, keep: int, step: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-    """For each query the rows with the ``keep`` largest table sums, and the sums, in no order."""
-    best_at = np.zeros((len(tables), 0), np.int64)
-    best = np.zeros((len(tables), 0), np.float32)
-    for a in range(0, len(codes), step):
-        part = codes[a : a + step]
-        total = np.zeros((len(tables), len(part)), np.float32)
-        for b in range(part.shape[1]):
-            total += np.take(tables[:, b], part[:, b], axis=1)
-        best = np.concatenate([best, total], 1)
-        best_at = np.concatenate([best_at, np.broadcast_to(np.arange(a, a + len(part)), total.shape)], 1)
-        if best.shape[1] > keep:
-            top = np.argpartition(-best, keep - 1, axis=1)[:, :keep]
-            best, best_at = np.take_along_axis(best, top, 1), np.take_along_axis(best_at, top, 1)
-    return best_at, best
+def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Directions, in single precision, and norms of finite vectors of any size."""
+    most = np.abs(x).max(1, keepdims=True)
+    x = x / most
+    size = np.sqrt((x * x).sum(1, keepdims=True))
+    return (x / size).astype(np.float32), (size * most)[:, 0]
+
+
+def scan(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """For each query and row the sum of table entries."""
+    total = np.zeros((len(tables), len(codes)), np.float32)
+    for b in range(codes.shape[1]):
+        total += np.take(tables[:, b], codes[:, b], axis=1)
+    return total
+
+
+class Rows(NamedTuple):
+    """A block of rows: their vectors, codes, norms, and how far a sum may be off for a query of norm 1."""
+
+    ids: np.ndarray
+    x: np.ndarray
+    codes: np.ndarray
+    norm: np.ndarray
+    off: np.ndarray
+
+    @classmethod
+    def of(cls, ids: np.ndarray, x: np.ndarray, books: Codebooks) -> "Rows":
+        u, norm = unit(x)
+        code = books.encode(u)
+        near = books.centers[np.arange(len(books.centers)), code].reshape(len(u), -1)[:, : u.shape[1]]
+        off = SPREAD * np.sqrt(((u - near) ** 2).sum(1) / u.shape[1]) * norm
+        return cls(ids, x, pack(code), norm, off)
+
+    def best(self, q: np.ndarray, books: Codebooks, top: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query the rows with the ``top`` largest inner products among those that the codes leave, and the products."""
+        direction, size = unit(q)
+        rough = scan(books.tables(direction), self.codes) * self.norm
+        for i in range(len(q)):
+            at = np.arange(len(self.ids))
+            if len(at) > top:
+                least = np.partition(rough[i] - self.off, -top)[-top]
+                at = np.flatnonzero(rough[i] + self.off >= least)
+            with np.errstate(over="ignore"):
+                score = self.x[at] @ q[i]
+            if len(at) > top:
+                some = np.argpartition(-score, top - 1)
+                some = np.flatnonzero(score >= score[some[top - 1]])  # with all that tie
+                at, score = at[some], score[some]
+            yield at, score
+
+
+def cells_of(u: np.ndarray, n: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
+    """Centroids of about n cells of directions."""
+    rng = np.random.default_rng(seed)
+    c = u[rng.permutation(len(u))[:n]].astype(np.float64)
+    for _ in range(rounds):
+        near = (u @ c.T).argmax(1)
+        total = np.zeros_like(c)
+        np.add.at(total, near, u)
+        some = np.bincount(near, minlength=len(c)) > 0
+        c[some] = total[some]
+        c /= np.maximum(np.sqrt((c * c).sum(1, keepdims=True)), 1e-30)
+    return c
+
+
+def probes(x: np.ndarray, centers: np.ndarray, top: int, asked: int = 256) -> int:
+    """How many cells hold WITHIN of the best rows, over some of the sample's vectors."""
+    if len(centers) == 1 or len(x) <= top:
+        return len(centers)
+    u, norm = unit(x)
+    own = (u @ centers.T).argmax(1)
+    q = u[:: max(1, len(u) // asked)]
+    product = (q @ u.T) * norm
+    product[np.arange(len(q)), np.arange(0, len(u), max(1, len(u) // asked))[: len(q)]] = -np.inf
+    best = np.argpartition(-product, top - 1, axis=1)[:, :top]
+    place = np.argsort(np.argsort(-(q @ centers.T), axis=1), axis=1)
+    needed = np.sort(np.take_along_axis(place, own[best], 1).ravel())
+    return int(needed[min(len(needed) - 1, int(WITHIN * len(needed)))]) + 1
 
 
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
-    return np.asarray(column.flatten().to_numpy(zero_copy_only=False)).reshape(-1, d)
-
-
-def _blocks(rows: DataFrame, n: int, size: int, d: int, books: Codebooks | None) -> DataFrame:
-    """(block, ids, data): rows (id, v) in about n / size blocks; data are codes, or the vectors themselves."""
-    blocks = max(1, -(-n // size))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for b in batches:
-            x = _matrix(b.column("v"), d)
-            x = x.astype(np.float32) if books is None else pack(books.encode(x))
-            block, ids = b.column("block").to_numpy(), b.column("id").to_numpy()
-            for k in np.unique(block):
-                own = held.setdefault(int(k), [[], []])
-                own[0].append(ids[block == k]), own[1].append(x[block == k])
-        for k, (ids, x) in held.items():
-            yield pa.RecordBatch.from_pydict({"block": [k], "ids": [np.concatenate(ids).tobytes()], "data": [np.ascontiguousarray(np.concatenate(x)).tobytes()]})
-
-    n_parts = min(blocks, partitions(rows.sparkSession)) if books is None else blocks
-    return dealt.repartition(n_parts, "block").mapInArrow(work, "block long, ids binary, data binary")
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, d)
 
 
-def _search(vectors: DataFrame, d: int, top: int, rerank: int, sample: int) -> DataFrame:
+def _search(vectors: DataFrame, d: int, top: int, sample: int) -> DataFrame:
     """(id, near): the nearest of each query vector, nearest first, one more than ``top``; vectors: (id, v, members, is_query)."""
+    spark = vectors.sparkSession
     n = vectors.count()
-    queries = vectors.where("is_query").select("id", "v")
-    n_queries = queries.count()
-    if not n_queries:
-        return vectors.where("is_query").selectExpr("id", "array(named_struct('score', 0d, 'vec_id', id)) as near")
-    x = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow().column("v").combine_chunks()
-    books = fit(_matrix(x, d).astype(np.float32))
-    code = _blocks(vectors.select("id", "v"), n, ROWS, d, books)
-    asked = stash(_blocks(queries, n_queries, QUERIES, d, None), "query-blocks")
-    width = len(books.centers) // 2
-    keep = rerank + 1
+    asked = vectors.where("is_query").select("id", "v")
+    x = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow().column("v").combine_chunks()  # bounded by sample
+    x = _matrix(x, d)
+    u = unit(x)[0]
+    books, centers = fit(u), cells_of(u, min(CELLS, max(1, -(-n // CELL))))
+    n_probes = probes(x, centers, top)
+
+    def placed(count: int):
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                like = unit(_matrix(b.column("v"), d))[0] @ centers.T if b.num_rows else np.zeros((0, len(centers)))
+                near = np.argpartition(-like, count - 1, axis=1)[:, :count] if count < len(centers) else np.tile(np.arange(len(centers)), (len(like), 1))
+                cells = pa.ListArray.from_arrays(pa.array(np.arange(len(like) + 1, dtype=np.int32) * near.shape[1]), pa.array(near.ravel(), pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), cells], names=["id", "v", "cells"])
+
+        return work
+
+    schema = "id long, v array<double>, cells array<long>"
+    rows = stash(vectors.select("id", "v").mapInArrow(placed(1), schema).select("id", "v", F.col("cells")[0].alias("cell")), "placed")
+    size = max(256, BLOCK // d)
+    blocks = rows.groupBy("cell").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))  # a row for each cell
+    rows = rows.join(blocks, "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("asks"), "id", "v")
+    queries = asked.mapInArrow(placed(n_probes), schema).select("id", "v", F.explode("cells").alias("cell"))
+    queries = queries.join(blocks, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("asks"), "id", "v")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, block = None, [[], []], None
         for b in batches:
-            for q_ids, q, ids, c in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                q_ids, ids = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
-                q = np.frombuffer(q, np.float32).reshape(len(q_ids), d)
-                at, total = scan(books.tables(q), np.frombuffer(c, np.uint8).reshape(len(ids), width), keep)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(q_ids, at.shape[1])), pa.array(ids[at.ravel()]), pa.array(total.ravel())], names=["query", "id", "rough"]
-                )
-
-    ids = F.sequence(F.lit(0), F.lit(max(1, -(-n_queries // QUERIES)) - 1).cast("long"))
-    met = code.select("ids", "data", F.explode(ids).alias("block")).alias("c").join(asked.alias("q"), "block")
-    met = met.select(F.col("q.ids").alias("q_ids"), F.col("q.data").alias("q"), F.col("c.ids").alias("ids"), F.col("c.data").alias("c"))
-    met = met.repartition(partitions(vectors.sparkSession), F.xxhash64("q_ids", "ids"))
-    rough = met.mapInArrow(work, "query long, id long, rough float")
-    if n > ROWS:  # several blocks of rows: the best over all of them
-        best = Window.partitionBy("query").orderBy(F.col("rough").desc(), "id")
-        rough = rough.withColumn("r", F.row_number().over(best)).where(F.col("r") <= keep).select("query", "id")
-    found = rough.select("query", "id").join(vectors.select("id", "v", "members"), "id")
-    found = found.join(queries.select(F.col("id").alias("query"), F.col("v").alias("q")), "query")
-    product = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, p: s + p)
-    scored = found.select("query", "id", "members", product.alias("score"))
-    near = Window.partitionBy("query").orderBy(F.col("score").desc(), "id")
-    scored = scored.withColumn("r", F.row_number().over(near)).where(F.col("r") <= top + 1)
+            c, k, asks, ids = (b.column(i).to_numpy() for i in range(4))
+            v = _matrix(b.column("v"), d)
+            cut = np.append(np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (k[1:] != k[:-1]) | (asks[1:] != asks[:-1]))), len(c)) if len(c) else [0]
+            for i, j in zip(cut[:-1], cut[1:], strict=True):
+                if (c[i], k[i]) != now:
+                    now, held, block = (c[i], k[i]), [[], []], None
+                if not asks[i]:
+                    held[0].append(ids[i:j]), held[1].append(v[i:j])
+                    continue
+                if block is None:
+                    if not held[0]:
+                        continue
+                    block, held = Rows.of(np.concatenate(held[0]), np.concatenate(held[1]), books), [[], []]
+                for a in range(i, j, QUERIES):
+                    part = slice(a, min(j, a + QUERIES))
+                    found = list(block.best(v[part], books, top + 1))
+                    own = np.repeat(ids[part], [len(at) for at, _ in found])
+                    at = np.concatenate([at for at, _ in found])
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(block.ids[at]), pa.array(np.concatenate([s for _, s in found]))], names=["query", "id", "score"])
+
+    met = rows.union(queries).repartition(partitions(spark), "cell", "block").sortWithinPartitions("cell", "block", "asks")
+    found = met.mapInArrow(work, "query long, id long, score double")
+    best = Window.partitionBy("query").orderBy(F.col("score").desc(), "id")
+    found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= top + 1).select("query", "id")
+    found = found.join(vectors.select("id", "v", "members"), "id").join(asked.select(F.col("id").alias("query"), F.col("v").alias("q")), "query")
+    # the score that is returned adds up in order, the same wherever it is computed
+    product = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p)
+    scored = found.select("query", "members", product.alias("score"))
     # At most top + 1 classes of at most top + 1 members for a query.
     each = scored.select("query", "score", F.explode("members").alias("vec_id"))
     entry = F.struct((-F.col("score")).alias("minus"), "vec_id")
@@ -192,7 +262,7 @@ def _search(vectors: DataFrame, d: int, top: int, rerank: int, sample: int) -> D
     return lists.select(F.col("query").alias("id"), F.transform("near", lambda e: F.struct((-e.minus).alias("score"), e.vec_id.alias("vec_id"))).alias("near"))
 
 
-def nearest(vectors: DataFrame, is_query, top: int = TOP, rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, top: int = TOP, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id and score: the ``top`` largest inner products of each query row with other rows.
 
     ``vectors`` has vec_id and embedding; ``is_query`` is a condition on vec_id.  Rows without an id, and vectors
@@ -201,7 +271,7 @@ def nearest(vectors: DataFrame, is_query, top: int = TOP, rerank: int = RERANK,
     Other columns are ignored; an empty table gives none.
     """
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("v")).where("vec_id is not null and v is not null")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where("vec_id is not null and v is not null")
     rows = rows.withColumn("embedding", F.col("v")).where(~bad & F.exists("v", lambda x: x != 0)).drop("embedding")
     rows = stash(rows.select("vec_id", "v", F.size("v").alias("d"), is_query(F.col("vec_id")).alias("is_query")), "vectors")
     members = Window.partitionBy("v").orderBy("vec_id")
@@ -211,11 +281,13 @@ def nearest(vectors: DataFrame, is_query, top: int = TOP, rerank: int = RERANK,
     # A class goes by its least vec_id; ids shared by classes are told apart by a hash.
     classes = stash(classes.join(asked, "v", "left").withColumn("is_query", F.coalesce("is_query", F.lit(False))).withColumn("id", F.col("least")), "classes")
     lists = None
-    for r in classes.groupBy("d").agg(F.countDistinct("id").alias("ids"), F.count("*").alias("n")).collect():  # a row per length
+    for r in classes.groupBy("d").agg(F.countDistinct("id").alias("ids"), F.count("*").alias("n"), F.max("is_query").alias("asked")).collect():  # a row per length
+        if not r.asked:
+            continue
         own = classes.where(F.col("d") == r.d)
         if r.ids < r.n:
             own = own.withColumn("id", F.xxhash64("v", "least"))
-        got = _search(stash(own, "own"), r.d, top, rerank, sample)
+        got = _search(stash(own, "own"), r.d, top, sample)
         got = own.where("is_query").select("id", "v").join(got, "id").select("v", "near")
         lists = got if lists is None else lists.unionByName(got)
     if lists is None:

@@ -4,12 +4,14 @@ The pages of a host are merged by element paths.  For every path the tree knows
 occurs (m), which sequences of child elements it has there (presentation) and which texts stand in its
 branch (content).  The presentation importance is the entropy of the child sequences to the base m; a text on c of m
 pages has the entropy log c / log m, and the content importance is the mean of one minus that.  Template parts look alike
-everywhere and score near 0, and a branch below ``LOW`` goes.
+everywhere and score near 0.  Few pages say little, so ``DOUBT`` pages that differ in everything are added to each path; then a branch
+below ``LOW`` goes.  If that were all of a page, the low branch with the most text stays, so an article that a host repeats is kept.
 
-Before that, what an element says about itself is taken at its word: menus, headers, footers, sidebars, notices, adverts,
-forms, scripts and comments by element name, role, class or id; and a page with an article (or else a
-main) element has its text there.  Where the style tree would take all that this leaves of a page, the
-low branch with the most text stays, so an article that a host repeats is kept.
+What the tree can't see, such as adverts and comments that differ from page to page, goes by what elements say about themselves:
+element names and roles; and names of classes and ids, but those never for what holds the main text.  An element named so as a whole
+("comments") goes if it holds less than four fifths of the text, one with the word in its name ("related-posts") if less than half, and
+both go in any case beside an article or main element; neither goes if such an element is inside.  Of what is left the articles (or else the main elements) are the text if they
+hold a fair share of it, and else all of it is.
 
 The tree is a grouped count: rows (host, path, feature) combine in tasks before the shuffle, so a host of any
 size spreads over all tasks.
@@ -17,8 +19,10 @@ size spreads over all tasks.
 
 from __future__ import annotations
 
+import functools
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -28,16 +32,22 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlift.llm.common import stash, table
+from pairlift.llm.common import stash, table, worker_cache
 
 LOW = 0.2
-#: A path on fewer pages of a host says nothing about templates.
-LEAST_PAGES = 5
+#: Pages of doubt that count against a template; of pages that are all alike it takes three.
+DOUBT = 0.6
+#: Articles with less than this share of the text left are teasers, not the text.
+FAIR = 0.25
+#: Elements further below their region's root are no branches of their own.
+DEPTH = 64
 PRESENTATION = 0.3
 #: Up to this many low branches (8 bytes each) are broadcast; more are joined.
 MAX_BROADCAST = 1 << 20
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+_NAME = re.compile(r"/?[A-Za-z][A-Za-z0-9:-]*")
+#: The rest of a tag, with and without heed to quotes; possessive, so that a failure costs one pass.
+_REST = re.compile(r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+>""")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -51,7 +61,13 @@ _NOISE_WORDS = set(
     "subscription sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments commentlist reply replies respond disqus related recommended share "
     "sharing social widget pagination pager toolbar login signup register hidden skip".split()
 )
-_KEEP = {"html", "body", "article", "main", "h1", "h2", "h3", "h4", "h5", "h6"}
+#: Parts of names that say what is elsewhere, as in "has-sidebar".
+_ABOUT = set("has no with without is not enabled disabled on off".split())
+#: Parts of names that speak of the text itself.
+_TEXT_WORDS = set("article body content entry main post story text".split())
+_KEEP = {"html", "body", "h1", "h2", "h3", "h4", "h5", "h6"}
+#: Within an article only these go by their names.
+_HOLDERS = set("article aside details div dl fieldset figure footer header nav ol section table ul".split())
 _CLOSE = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
 }
@@ -59,28 +75,45 @@ _BOUND = {"ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "select", "artic
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
+class Element:
+    __slots__ = ("tag", "path", "noise", "region", "branch", "suspect", "owner", "depth", "up", "children")
+
+    def __init__(self, tag: str, path: int, up: "Element | None", noise: bool = False, region: int = 0, suspect: int = -1):
+        self.tag, self.path, self.up, self.noise, self.region, self.suspect = tag, path, up, noise, region, suspect
+        self.children: list[str] = []
+        self.owner = self  # the element that a text in here belongs to: the innermost that is a block or noise
+        self.branch: Element | None = None  # the innermost branch around, up to the region's root
+        self.depth = 0
+
+
 class Block(NamedTuple):
     text: str
     branches: tuple[int, ...]  # paths below the region's root, outermost first
     region: int  # 2 within an article, 1 within a main element, 0 elsewhere
+    suspect: int = -1  # the innermost suspect around
 
 
-class Element:
-    __slots__ = ("tag", "path", "noise", "region", "branches", "children")
+#: A name is noise as a whole, in part, or beside a word for the text.
+WHOLE, PART, BESIDE = 3, 2, 1
 
-    def __init__(self, tag: str, path: int, noise: bool, region: int, branches: tuple[int, ...]):
-        self.tag, self.path, self.noise, self.region, self.branches = tag, path, noise, region, branches
-        self.children: list[str] = []
 
+class Suspect(NamedTuple):
+    named: int
+    up: int  # the next suspect around
 
-_signs: dict[tuple[str, str, bool], tuple[int, bool, int]] = {}
 
+class Page(NamedTuple):
+    blocks: list[Block]  # outside of noise, in order
+    styles: dict[int, str]  # the child sequences of their branches
+    suspects: list[Suspect]
+    safe: set[int]  # suspects with an article or main element inside
 
-def _sign(tag: str, attributes: str, in_article: bool) -> tuple[int, bool, int]:
-    """Hash of tag and class, whether the element is noise, and the region it opens; remembered."""
-    key = (tag, attributes, in_article)
-    if key in _signs:
-        return _signs[key]
+
+def _sign(tag: str, attributes: str) -> tuple[int, bool, int, int]:
+    """Hash of tag and class, whether the element is noise, the region it opens, and how its name is noise (0: not at all); remembered."""
+    signs, key = worker_cache("signs", dict), (tag, attributes)
+    if key in signs:
+        return signs[key]
     names, role, hidden = "", "", False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -89,25 +122,33 @@ def _sign(tag: str, attributes: str, in_article: bool) -> tuple[int, bool, int]:
         elif name == "role":
             role = value.strip().lower()
         hidden |= name == "hidden" or (name == "aria-hidden" and value.lower() == "true")
-    noise = tag in _NOISE or role in _NOISE_ROLES or hidden or (tag == "header" and not in_article)
-    if tag not in _KEEP:
-        noise |= not _NOISE_WORDS.isdisjoint(w.lower() for w in _WORDS.findall(names))
-    elif tag in ("article", "main"):
-        noise |= not {"comment", "comments", "reply", "ad", "ads", "advert", "related", "sponsored"}.isdisjoint(w.lower() for w in _WORDS.findall(names))
+    named = 0
+    for token in names.split() if tag not in _KEEP else ():
+        parts = [w.lower() for w in _WORDS.findall(token)]
+        if token.lower() in _NOISE_WORDS:
+            named = WHOLE
+        elif not _NOISE_WORDS.isdisjoint(parts) and _ABOUT.isdisjoint(parts):
+            named = max(named, PART if _TEXT_WORDS.isdisjoint(parts) else BESIDE)
+    noise = tag in _NOISE or role in _NOISE_ROLES or hidden
     region = 2 if tag == "article" or role == "article" else 1 if tag == "main" or role == "main" else 0
-    sign = xxhash.xxh3_64_intdigest(f"{tag} {re.sub('[0-9]+', '', names)}"), noise, region
-    if len(_signs) > 100_000:
-        _signs.clear()
-    _signs[key] = sign
+    if region and named == WHOLE:  # an article that is a comment or an advert
+        region = 0
+    sign = xxhash.xxh3_64_intdigest(f"{tag} {re.sub('[0-9]+', '', names)}"), noise, region, named
+    if len(signs) > 100_000:
+        signs.clear()
+    signs[key] = sign
     return sign
 
 
-def parse(page: str) -> tuple[list[Block], dict[int, str]]:
-    """The blocks of a page outside noise, in order, and the child sequences of their branches."""
+def parse(page: str) -> Page:
+    """Takes time in proportion to the page, whatever its markup."""
     blocks: list[Block] = []
     styles: dict[int, str] = {}
-    root = Element("", 0, False, 0, ())
+    suspects: list[Suspect] = []
+    safe: set[int] = set()
+    root = Element("", 0, None)
     stack = [root]
+    open_tags: Counter[str] = Counter()
     held: list[str] = []
     owner = root
 
@@ -117,105 +158,183 @@ def parse(page: str) -> tuple[list[Block], dict[int, str]]:
             text = " ".join("".join(held).split())
             held = []
             if text and not owner.noise:
-                blocks.append(Block(text, owner.branches, owner.region))
+                path, e = [], owner.branch
+                while e is not None:
+                    path.append(e.path)
+                    e = e.up.branch
+                blocks.append(Block(text, tuple(path[::-1]), owner.region, owner.suspect))
 
     def close(n: int) -> None:
         while len(stack) > n:
             e = stack.pop()
-            if e.branches and not e.noise:
+            open_tags[e.tag] -= 1
+            if e.branch is e and not e.noise:
                 styles.setdefault(e.path, " ".join(e.children))
 
-    at, end = 0, len(page)
-    while at < end:
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            s = m[0]
-            if s[0] != "<" or s == "<":
-                if not held:
-                    owner = stack[-1]
-                    i = len(stack) - 1
-                    while i and stack[i].tag in _INLINE and not stack[i].noise:
-                        i -= 1
-                    owner = stack[i] if not stack[-1].noise else stack[-1]
-                elif stack[-1].noise != owner.noise:
-                    flush()
-                    owner = stack[-1]
-                if not stack[-1].noise:
-                    held.append(html.unescape(s))
-            continue
-        tag = tag.lower()
-        block = tag not in _INLINE
-        if m[1]:
+    def close_open(tags: set[str]) -> None:
+        if any(open_tags[t] > 0 for t in tags):
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    if block or stack[i].noise:
-                        flush()
+                if stack[i].tag in tags:
                     close(i)
                     break
+                if stack[i].tag in _BOUND:
+                    break
+
+    def add_text(s: str) -> None:
+        nonlocal owner
+        now = stack[-1].owner
+        if held and now.noise != owner.noise:
+            flush()
+        if not held:
+            owner = now
+        if not now.noise:
+            held.append(html.unescape(s))
+
+    at, end, quotes = 0, len(page), True
+    while at < end:
+        lt = page.find("<", at)
+        if lt != at:
+            add_text(page[at : lt if lt >= 0 else end])
+            if lt < 0:
+                break
+        if page.startswith("<!--", lt):
+            stop = page.find("-->", lt + 4)
+            at = end if stop < 0 else stop + 3
+            continue
+        if page[lt + 1 : lt + 2] in ("!", "?"):
+            stop = page.find(">", lt)
+            at = end if stop < 0 else stop + 1
+            continue
+        m = _NAME.match(page, lt + 1)
+        rest = None
+        if m:
+            rest = _REST.match(page, m.end()) if quotes else None
+            if rest is None:  # a quote that is never closed: from here on quotes say nothing
+                quotes = False
+                stop = page.find(">", m.end())
+                if stop < 0:
+                    add_text(page[lt:])
+                    break
+                rest = page[m.end() : stop], stop + 1
             else:
-                if block:
-                    flush()
+                rest = rest[0][:-1], rest.end()
+        if not m:
+            add_text("<")
+            at = lt + 1
+            continue
+        attributes, at = rest
+        tag = m[0].lower()
+        if tag[0] == "/":
+            tag = tag[1:]
+            block = tag not in _INLINE
+            if open_tags[tag] > 0:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag == tag:
+                        if block or stack[i].noise:
+                            flush()
+                        close(i)
+                        break
+            elif block:
+                flush()
             continue
+        block = tag not in _INLINE
         if block:
             flush()
-            for i in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                if stack[i].tag == "p":
-                    close(i)
-                    break
-                if stack[i].tag in _BOUND:
-                    break
+            close_open({"p"})  # a block ends an open paragraph
         if tag in _CLOSE:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in _CLOSE[tag]:
-                    close(i)
-                    break
-                if stack[i].tag in _BOUND:
-                    break
+            close_open(_CLOSE[tag])
         if tag == "br":
             held.append(" ") if held else None
             continue
         parent = stack[-1]
-        sign, noise, region = _sign(tag, m[3].strip().rstrip("/"), parent.region > 0)
-        if tag in _VOID or m[3].endswith("/") and tag in ("svg", "path"):
+        sign, noise, region, named = _sign(tag, attributes.strip().rstrip("/"))
+        if tag in _VOID or attributes.endswith("/") and tag in ("svg", "path"):
             continue
-        path = xxhash.xxh3_64_intdigest(parent.path.to_bytes(8, "little"), sign)
+        if tag == "header" and not parent.region:
+            noise = True
         if block and (not parent.children or parent.children[-1] != tag):
             parent.children.append(tag)
-        opens = region > parent.region or not parent.tag or parent.tag in ("html", "body") and tag in ("body",)
-        branches = () if opens else parent.branches + ((path,) if block and parent.tag else ())
         if noise and not parent.noise:
             flush()
-        stack.append(Element(tag, path, parent.noise or noise, max(region, parent.region), branches))
+        e = Element(tag, xxhash.xxh3_64_intdigest(parent.path.to_bytes(8, "little"), sign), parent, parent.noise or noise, max(region, parent.region), parent.suspect)
+        if named and not e.noise and (not parent.region or tag in _HOLDERS):
+            suspects.append(Suspect(named, parent.suspect))
+            e.suspect = len(suspects) - 1
+        if region > parent.region:
+            x = e.suspect
+            while x >= 0 and x not in safe:
+                safe.add(x)
+                x = suspects[x].up
+        opens = region > parent.region or not parent.tag or parent.tag == "html" and tag == "body"
+        if opens or not parent.tag:
+            e.branch, e.depth = None, 0
+        elif block and parent.depth < DEPTH:
+            e.branch, e.depth = e, parent.depth + 1
+        else:
+            e.branch, e.depth = parent.branch, parent.depth
+        if not block and not (noise and not parent.noise):
+            e.owner = parent.owner
+        stack.append(e)
+        open_tags[tag] += 1
         if tag in _RAW:
-            stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            stop = _raw_end(tag).search(page, at)
             close(len(stack) - 1)
             at = stop.end() if stop else (end if tag in ("script", "style") else at)
     flush()
     close(1)
-    return blocks, styles
-
-
-def main_blocks(page: str) -> tuple[list[Block], dict[int, str]]:
-    """The blocks of the page's article, or else its main element, or else all that aren't noise."""
-    blocks, styles = parse(page)
-    most = max((b.region for b in blocks), default=0)
-    return [b for b in blocks if b.region == most], styles
-
-
-def text_of(blocks: list[Block], low: set[int] | None = None) -> str:
-    """The blocks joined, without those in low branches; if nothing else is left, the low branch with the most text."""
+    return Page(blocks, styles, suspects, safe)
+
+
+@functools.cache
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\s*>", re.I)
+
+
+def _without_suspects(page: Page, blocks: list[Block]) -> list[Block]:
+    """The blocks without those in elements that go by their names."""
+    n = len(page.suspects)
+    if not n:
+        return blocks
+    size = [0] * n
+    total = main = 0
+    for b in blocks:
+        total += len(b.text)
+        main += len(b.text) if b.region and (b.suspect < 0 or b.suspect in page.safe) else 0
+        if b.suspect >= 0:
+            size[b.suspect] += len(b.text)
+    for i in range(n - 1, -1, -1):  # those around come first
+        if page.suspects[i].up >= 0:
+            size[page.suspects[i].up] += size[i]
+    gone, left = [False] * n, total
+    for i, x in enumerate(page.suspects):
+        if x.up >= 0 and gone[x.up]:
+            gone[i] = True
+        elif i not in page.safe and size[i] and size[i] < left:
+            # beside an article it may hold any share of the text; else not nearly all of it, or half
+            gone[i] = (main > 0 and x.named > BESIDE) or (5 * size[i] < 4 * total if x.named == WHOLE else 2 * size[i] < total)
+            left -= size[i] if gone[i] else 0
+    return [b for b in blocks if b.suspect < 0 or not gone[b.suspect]]
+
+
+def main_text(page: Page, low: set[int] = frozenset()) -> str:
+    """The main text of a page whose low branches are known."""
+    blocks = page.blocks
     if low:
-        left = [b for b in blocks if low.isdisjoint(b.branches)]
-        if not left:
-            of = [next(x for x in b.branches if x in low) for b in blocks]
-            size: dict[int, int] = {}
-            for x, b in zip(of, blocks, strict=True):
-                size[x] = size.get(x, 0) + len(b.text)
+        blocks = [b for b in blocks if low.isdisjoint(b.branches)]
+        if not blocks:  # if nothing else is left, the low branch with the most text
+            of = [next(x for x in b.branches if x in low) for b in page.blocks]
+            size: Counter[int] = Counter()
+            for x, b in zip(of, page.blocks, strict=True):
+                size[x] += len(b.text)
             most = max(size, key=size.__getitem__, default=None)
-            left = [b for x, b in zip(of, blocks, strict=True) if x == most]
-        blocks = left
+            blocks = [b for x, b in zip(of, page.blocks, strict=True) if x == most]
+    blocks = _without_suspects(page, blocks)
+    total = sum(len(b.text) for b in blocks)
+    for region in (2, 1):
+        own = [b for b in blocks if b.region >= region]
+        if own and sum(len(b.text) for b in own) >= FAIR * total:
+            blocks = own
+            break
     return "\n".join(b.text for b in blocks)
 
 
@@ -236,7 +355,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not page:
                 continue
             site = xxhash.xxh3_64_intdigest(host(url))
-            blocks, styles = main_blocks(page)
+            blocks, styles, *_ = parse(page)
             own = {x for k in blocks for x in k.branches}
             key = {x: _key(site, x) for x in own}
             found = {(key[x], 0, 0) for x in own}
@@ -248,17 +367,18 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(branch, pages, importance) for the branches on LEAST_PAGES pages of their host and more; pages: (url, html)."""
+    """(branch, pages, importance) for the branches on more than one page of their host; pages: (url, html)."""
     counted = pages.select("url", "html").mapInArrow(_features, "branch long, kind int, feature long").groupBy("branch", "kind", "feature").agg(F.count("*").alias("n"))
     log_n = F.col("n") * F.log("n")
     of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x).otherwise(0))
     nodes = counted.groupBy("branch").agg(
         of(0, F.col("n")).alias("pages"), of(1, log_n).alias("shapes"), of(2, F.col("n")).alias("texts"), of(2, log_n).alias("repeated"),
-    ).where(F.col("pages") >= LEAST_PAGES)
+    ).where("pages > 1")
     base = F.log("pages")
     presentation = (base - F.col("shapes") / F.col("pages")) / base
     content = F.when(F.col("texts") > 0, 1 - F.col("repeated") / F.col("texts") / base).otherwise(0.0)
-    return nodes.select("branch", "pages", (PRESENTATION * presentation + (1 - PRESENTATION) * content).alias("importance"))
+    found = PRESENTATION * presentation + (1 - PRESENTATION) * content
+    return nodes.select("branch", "pages", ((F.col("pages") * found + DOUBT) / (F.col("pages") + DOUBT)).alias("importance"))
 
 
 def extract(pages: DataFrame, low: float = LOW, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
@@ -278,13 +398,14 @@ def extract(pages: DataFrame, low: float = LOW, max_broadcast: int = MAX_BROADCA
             texts = []
             lists = b.column(3).to_pylist() if known is None else [None] * b.num_rows
             for url, page, own in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), lists, strict=True):
-                blocks = main_blocks(page)[0] if page else []
+                if not page:
+                    texts.append("")
+                    continue
+                parsed = parse(page)
                 bad = listed if known is not None else set(own or ())
-                gone = set()
-                if bad and blocks:
-                    site = xxhash.xxh3_64_intdigest(host(url))
-                    gone = {x for x in {x for k in blocks for x in k.branches} if _key(site, x) in bad}
-                texts.append(text_of(blocks, gone))
+                site = xxhash.xxh3_64_intdigest(host(url))
+                gone = {x for x in {x for k in parsed.blocks for x in k.branches} if _key(site, x) in bad} if bad else set()
+                texts.append(main_text(parsed, gone))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     if known is None:  # each page's own low branches, by a join
@@ -294,7 +415,7 @@ def extract(pages: DataFrame, low: float = LOW, max_broadcast: int = MAX_BROADCA
                 ids, keys = [], []
                 for i, url, page in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     site = xxhash.xxh3_64_intdigest(host(url))
-                    for x in {x for k in (main_blocks(page)[0] if page else []) for x in k.branches}:
+                    for x in {x for k in (parse(page).blocks if page else []) for x in k.branches}:
                         ids.append(i), keys.append(_key(site, x))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64())], names=["own_id", "branch"])
 

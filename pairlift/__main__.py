@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import sys
 import time
-import uuid
 
 from pyspark.sql import SparkSession
 
 from pairlift.config import from_args
+from pairlift.plans.scratch import new_folder
 from pairlift.streaming.engine import Engine
 
 
@@ -16,16 +16,13 @@ def main(args: list[str] | None = None) -> int:
     config = from_args(args)
     print(config.describe())
     spark = SparkSession.builder.appName("pairlift").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        raise SystemExit("set spark.checkpoint.dir to a folder for state and results")
-    engine = Engine(spark, config, f"{base}/pairlift-{uuid.uuid4().hex}")
+    engine = Engine(spark, config, new_folder(spark, "pairlift"))
     began = time.monotonic()
     engine.run(config.input)
     meta = engine.meta()
     print(f"Duration\t{round(1000 * (time.monotonic() - began))}")
-    for name, key in (("LateElements", "late"), ("ObservedCooccurrences", "observed"), ("RowSum", "n"), ("RescoredItems", "rescored")):
-        print(f"{name}\t{meta[key]}")
+    for name, value in engine.counters(meta).items():
+        print(f"{name}\t{value}")
     print(f"Results\t{engine.path}/topk")
     return 0
 

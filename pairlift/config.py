@@ -45,6 +45,10 @@ class Config:
     buffer_timeout: int = 100  # accepted, without a meaning here
     drop_zero_cells: bool = False
     contingency: str = "observed"
+    score_decimals: int | None = None  # None ranks on full precision
+    recursive: bool = False
+    modified_after: str | None = None
+    interval: int | None = None  # milliseconds between looks for new files; None reads once
 
     def __post_init__(self) -> None:
         unit_ms(self.window_unit)
@@ -52,6 +56,8 @@ class Config:
             raise ValueError("top_k has to be positive")
         if self.window_size <= 0:
             raise ValueError("window_size has to be positive")
+        if self.interval is not None and self.interval < 1:
+            raise ValueError("interval has to be 1 ms at least")
         if self.contingency not in ("observed", "textbook"):
             raise ValueError(f"unknown contingency {self.contingency!r}")
 
@@ -73,6 +79,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-ws", "--window-size", type=int, required=True)
     p.add_argument("-wu", "--window-unit", default="MILLISECONDS", help=", ".join(UNITS))
     p.add_argument("-s", "--seed", type=parse_seed, default=None)
+    p.add_argument("--recursive", action="store_true", help="read folders within the folder, too")
+    p.add_argument("--modified-after", default=None, help="only files modified after this time, as 2024-01-31T00:00:00")
+    p.add_argument("--interval", type=int, default=None, help="look for new files every so many ms instead of reading once")
     p.add_argument("-bt", "--buffer-timeout", type=int, default=100, help="accepted and ignored")
     return p
 

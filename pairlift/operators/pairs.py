@@ -4,6 +4,9 @@ A user's slots pair with each other; a pair belongs to the later of its two wind
 user's interactions with item i in window w, the pairs of i and j != i in w number sum over users of
 c(u, w1, i) c(u, w2, j) with max(w1, w2) = w; so users' repeats are counted before the self-join,
 the join makes each unordered pair once, and the mirror image comes after aggregation.
+
+A user with more than ``BLOCK`` counted rows is dealt out in blocks: each pair of blocks is a join key of its own, so
+that no task has to pair more than two blocks of one user.
 """
 
 from __future__ import annotations
@@ -13,6 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Rows of a user that one task pairs with as many others.
+BLOCK = 4096
+
+
 def user_item_counts(rows: DataFrame) -> DataFrame:
     """(user, w, item, c) from (user, item, w)."""
     return rows.groupBy("user", "w", "item").agg(F.count("*").alias("c"))
@@ -24,16 +31,33 @@ def mirror(half: DataFrame, value: str) -> DataFrame:
     return half.select("w", F.explode(both).alias("p"), value).select("w", "p.item", "p.other", value)
 
 
-def pair_deltas(rows: DataFrame) -> DataFrame:
+def _paired(a: DataFrame, b: DataFrame, on) -> DataFrame:
+    """(w, item, other, x) for each two counts of a user that ``on`` lets meet."""
+    return a.join(b, on).select(
+        F.greatest("a.w", "b.w").alias("w"), F.least("a.item", "b.item").alias("item"), F.greatest("a.item", "b.item").alias("other"), (F.col("a.c") * F.col("b.c")).alias("x")
+    )
+
+
+def _meet(c: DataFrame) -> DataFrame:
+    return _paired(c.alias("a"), c.alias("b"), (F.col("a.user") == F.col("b.user")) & (F.col("a.item") < F.col("b.item")))
+
+
+def _meet_in_blocks(c: DataFrame) -> DataFrame:
+    """As _meet for users with ``blocks``: block i meets the blocks from i on, each under a key of its own."""
+    own = F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int")
+    c = c.withColumn("own", own)
+    a = c.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence("own", F.col("blocks") - 1))).alias("a")
+    b = c.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0), "own"))).alias("b")
+    same = (F.col("a.user") == F.col("b.user")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))
+    return _paired(a, b, same & ((F.col("a.i") < F.col("a.j")) | (F.col("a.item") < F.col("b.item"))))
+
+
+def pair_deltas(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """(w, item, other, delta): the ordered pairs that each window adds."""
     c = user_item_counts(rows)
-    a, b = c.alias("a"), c.alias("b")
-    half = (
-        a.join(b, (F.col("a.user") == F.col("b.user")) & (F.col("a.item") < F.col("b.item")))
-        .select(F.greatest("a.w", "b.w").alias("w"), F.col("a.item").alias("item"), F.col("b.item").alias("other"), (F.col("a.c") * F.col("b.c")).alias("x"))
-        .groupBy("w", "item", "other")
-        .agg(F.sum("x").alias("delta"))
-    )
+    heavy = c.groupBy("user").agg(F.count("*").alias("n")).where(F.col("n") > block).select("user", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    met = _meet(c.join(heavy, "user", "left_anti")).unionByName(_meet_in_blocks(c.join(heavy, "user")))
+    half = met.groupBy("w", "item", "other").agg(F.sum("x").alias("delta"))
     own = Window.partitionBy("user", "item").orderBy("w")
     n = F.sum("c").over(own.rowsBetween(Window.unboundedPreceding, 0))
     same = (

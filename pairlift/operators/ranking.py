@@ -8,15 +8,16 @@ from pyspark.sql.window import Window
 
 from pairlift.functions.scores import contingency, llr
 
-#: Scores are ranked and returned with this many decimals, so that the last bits of a logarithm decide nothing.
-DECIMALS = 4
 
+def score_cells(cells: DataFrame, kind: str = "observed", decimals: int | None = None) -> DataFrame:
+    """Adds k12, k21, k22 and score to cells with k11, row_sum, other_sum and n.
 
-def score_cells(cells: DataFrame, kind: str = "observed", decimals: int = DECIMALS) -> DataFrame:
-    """Adds k12, k21, k22 and score to cells with k11, row_sum, other_sum and n."""
+    ``decimals`` rounds the scores, so that the last bits of a logarithm decide nothing where results of several engines are compared.
+    """
     _, k12, k21, k22 = contingency(F.col("k11"), F.col("row_sum"), F.col("other_sum"), F.col("n"), kind)
     cells = cells.withColumns({"k12": k12, "k21": k21, "k22": k22})
-    return cells.withColumn("score", F.round(llr(*[F.col(c) for c in ("k11", "k12", "k21", "k22")]), decimals))
+    score = llr(*[F.col(c) for c in ("k11", "k12", "k21", "k22")])
+    return cells.withColumn("score", score if decimals is None else F.round(score, decimals))
 
 
 def with_sums(totals: DataFrame) -> DataFrame:
@@ -30,26 +31,48 @@ def with_sums(totals: DataFrame) -> DataFrame:
     return totals.join(sums, "item").join(other, "other").join(F.broadcast(n))
 
 
+def _stands(changes: DataFrame, at: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(w, keys, value) for the windows and keys of ``at``: the value of the last change up to then, 0 before any.
+
+    A task holds the windows of one key.
+    """
+    both = changes.select("w", *keys, value).unionByName(at.select("w", *keys).distinct().withColumn(value, F.lit(None).cast("long")))
+    both = both.groupBy("w", *keys).agg(F.max(value).alias("now"), F.max(F.col(value).isNull()).alias("asked"))
+    up_to = Window.partitionBy(*keys).orderBy("w").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn(value, F.coalesce(F.last("now", ignorenulls=True).over(up_to), F.lit(0).cast("long"))).where("asked").select("w", *keys, value)
+
+
 def window_cells(deltas: DataFrame, touched: DataFrame) -> DataFrame:
     """For each touched (w, item): the cells of its row, with row sums and total as they stand after w.
 
-    A cell's count after w is the sum of its deltas up to w: the item's deltas meet its touched windows from theirs
-    on.  The sums are looked up by the interval of windows in which they stand.
+    An item's touched windows are numbered.  A cell's count stands from the window of a delta until that of the next one,
+    so it is written out for the numbers in between, and a number leads to its window: as many rows as come out.
+    Row sums are looked up as they stand at each window where they are asked for.
     """
     from pairlift.operators.pairs import row_sum_state, total_state
 
-    t = touched.select(F.col("w").alias("tw"), F.col("item").alias("ti"))
-    cells = (
-        deltas.join(t, (F.col("item") == F.col("ti")) & (F.col("w") <= F.col("tw")))
-        .groupBy(F.col("tw").alias("w"), "item", "other").agg(F.sum("delta").alias("k11"))
-    )
-    after = Window.partitionBy("item").orderBy("w")
-    sums = row_sum_state(deltas).withColumn("until", F.coalesce(F.lead("w").over(after), F.lit((1 << 63) - 1)))
-    at = (F.col("c.w") >= F.col("s.w")) & (F.col("c.w") < F.col("s.until"))
-    cells = cells.alias("c").join(sums.alias("s"), (F.col("c.item") == F.col("s.item")) & at, "left").select("c.*", F.coalesce("s.row_sum", F.lit(0)).alias("row_sum"))
-    cells = cells.alias("c").join(sums.alias("s"), (F.col("c.other") == F.col("s.item")) & at, "left").select("c.*", F.coalesce("s.row_sum", F.lit(0)).alias("other_sum"))
+    steps = touched.select("item", "w", F.lit(1).alias("t")).unionByName(deltas.select("item", "w").distinct().withColumn("t", F.lit(0)))
+    steps = steps.groupBy("item", "w").agg(F.max("t").alias("t"))
+    by_window = Window.partitionBy("item").orderBy("w")
+    # nth: how many touched windows of the item come before
+    steps = steps.withColumn("nth", F.sum("t").over(by_window.rowsBetween(Window.unboundedPreceding, 0)) - F.col("t"))
+    steps = steps.withColumn("all", F.sum("t").over(Window.partitionBy("item")))
+    cell = Window.partitionBy("item", "other").orderBy("w")
+    state = deltas.join(steps.select("item", "w", "nth", "all"), ["item", "w"]).select(
+        "item", "other", F.sum("delta").over(cell.rowsBetween(Window.unboundedPreceding, 0)).alias("k11"), "nth", F.coalesce(F.lead("nth").over(cell), F.col("all")).alias("until")
+    )
+    state = state.where("nth < until").select("item", "other", "k11", F.explode(F.sequence("nth", F.col("until") - 1)).alias("nth"))
+    cells = state.join(steps.where("t = 1").select("item", "nth", "w"), ["item", "nth"]).select("w", "item", "other", "k11")
+    asked = cells.select("w", F.col("other").alias("item")).unionByName(touched.select("w", "item"))
+    sums = _stands(row_sum_state(deltas), asked, ["item"], "row_sum")
+    cells = cells.join(sums, ["w", "item"]).join(sums.select("w", F.col("item").alias("other"), F.col("row_sum").alias("other_sum")), ["w", "other"])
     n = total_state(deltas)
-    return cells.join(F.broadcast(n), "w")  # a row per window
+    return cells.join(_total_at(n, touched), "w")  # a row per window; broadcast if that is small
+
+
+def _total_at(n: DataFrame, touched: DataFrame) -> DataFrame:
+    none = F.lit(0).alias("one")
+    return _stands(n.select("w", none, "n"), touched.select("w", none), ["one"], "n").select("w", "n")
 
 
 def top_k(scored: DataFrame, k: int, by: tuple[str, ...] = ("item",)) -> DataFrame:

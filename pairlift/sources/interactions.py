@@ -5,10 +5,22 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at ``path`` (a pattern, too); a warning if not."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    if not found:
+        warnings.warn(f"no input at {path}", stacklevel=3)
+    return bool(found)
+
+
 def parse_lines(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """user, item, ts_ms from the ``value`` column; fields after the third are ignored.
 
@@ -21,9 +33,11 @@ def parse_lines(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 def from_files(spark: SparkSession, path: str, modified_after: str | None = None, recursive: bool = False) -> DataFrame:
     """All lines under ``path``, files by modification time, lines in file order.
 
-    A missing path raises.  The order in a file is that of the byte offsets at which Spark reads it: splits of a
+    A missing path is warned of and gives no rows.  The order in a file is that of the byte offsets at which Spark reads it: splits of a
     file have ascending partition ids.
     """
+    if not exists(spark, path):
+        return spark.createDataFrame([], "user long, item long, ts_ms long, pos long")
     reader = spark.read.option("recursiveFileLookup", recursive)
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after)
@@ -49,16 +63,18 @@ def with_order(rows: DataFrame, piece: tuple[str, ...] = PIECE, within: str = "l
     return rows.withColumn("own", own).join(base, list(piece)).select("user", "item", "ts_ms", (F.col("base") + F.col("own")).alias("pos"))
 
 
-def stream_lines(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
+def stream_lines(spark: SparkSession, path: str, files_per_batch: int = 1, modified_after: str | None = None, recursive: bool = False) -> DataFrame:
     """A stream of lines, oldest files first: value, file_modification_time, file_path and block."""
-    return (
-        spark.readStream.option("maxFilesPerTrigger", files_per_batch)
-        .text(path)
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", recursive)
+    lines = (
+        reader.text(path)
         .select(
             "value", F.col("_metadata.file_modification_time").alias("file_modification_time"), F.col("_metadata.file_path").alias("file_path"),
             F.col("_metadata.file_block_start").alias("block"),
         )
     )
+    # file streams have no option for it
+    return lines.where(F.col("file_modification_time") > F.lit(modified_after).cast("timestamp")) if modified_after else lines
 
 
 def _millis(column: str) -> F.Column:

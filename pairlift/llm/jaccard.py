@@ -21,7 +21,8 @@ copies costs one comparison for each member.  Exact copies are one class from th
 
 A passage that many documents share makes segments that many share.  Each document emits a few segments more than it needs;
 so a document of which no more than those few are shared by over HOT documents is found by its others, by the same count as above.
-In the groups of such a segment only the documents with more of them are compared with the rest.
+In the groups of such a segment only the documents with more of them are compared with the rest.  Large groups are
+dealt out in blocks, and each pair of blocks is compared on its own.
 
 Shingles, classes and segments are 64-bit hashes.
 """
@@ -44,6 +45,8 @@ PERCENT = 80
 LEVELS = 40
 GROWTH = 1.5
 HOT = 50
+#: Members of a group that one task compares with as many others.
+BLOCK = 512
 
 
 def shingles(text: bytes, own: WordHash, k: int = K) -> np.ndarray:
@@ -154,10 +157,10 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ], names=["doc_id", "n_shingles", "class", "sketch"])
 
 
-def _emit(percent: int):
+def _emit(percent: int, heads: np.ndarray, bits: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = text_bytes(b.column(0))
+            texts = text_bytes(b.column(0).filter(pa.array(in_bitmap(heads, bits, b.column(1).to_numpy().view(np.uint64)))))
             at = 0
             while at < len(texts):
                 stop, size = at, 0
@@ -233,26 +236,30 @@ def _verify(percent: int):
 
 
 def _cross(percent: int):
-    """Of rows sorted by key: pairs of different components whose sketches may belong to similar sets."""
+    """Of rows sorted by key and blocks: pairs of different components whose sketches may belong to similar sets.
+
+    Side 0 is a member of a group in one block, 1 and 2 are members of two blocks that meet.
+    """
 
     def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
         out: list[tuple[int, int]] = []
         if len({r[1] for r in rows}) < 2:
             return out
-        name = [r[0] for r in rows]
+        name = np.array([r[0] for r in rows], np.int64)
         comp, n = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
-        must = np.array([r[4] for r in rows], bool)
+        must, side = np.array([r[4] for r in rows], bool), np.array([r[5] for r in rows])
         flat = folded([r[3] for r in rows], min(len(r[3]) for r in rows))
-        step = max(1, 2_000_000 // max(1, flat.size))
-        own = np.flatnonzero(must)
+        own, other = np.flatnonzero((side == 1) | (side == 0) & must), np.flatnonzero(side != 1)
+        step = max(1, 2_000_000 // max(1, len(other) * flat.shape[1]))
         for at in range(0, len(own), step):
             i = own[at : at + step]
-            near = np.bitwise_count(flat[i, None] ^ flat[None]).sum(2, dtype=np.int64) <= most_apart(n[i, None], n[None], percent)
-            near &= (comp[i, None] != comp[None]) & (np.minimum(n[i, None], n[None]) * 100 >= np.maximum(n[i, None], n[None]) * percent)
-            near &= (i[:, None] < np.arange(len(rows))[None]) | ~must[None]
+            a, b = i[:, None], other[None]
+            near = np.bitwise_count(flat[a] ^ flat[b]).sum(2, dtype=np.int64) <= most_apart(n[a], n[b], percent)
+            near &= (comp[a] != comp[b]) & (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent)
+            near &= (name[a] < name[b]) | ~must[b]  # two that must be compared meet twice
             for x, y in zip(*np.nonzero(near), strict=True):
-                a, b = name[i[x]], name[y]
-                out.append((min(a, b), max(a, b)))
+                p, q = int(name[i[x]]), int(name[other[y]])
+                out.append((min(p, q), max(p, q)))
         return out
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +267,7 @@ def _cross(percent: int):
         seen: set[tuple[int, int]] = set()
         for b in batches:
             out = []
-            for key, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for *key, name, comp, n, sk, must, side in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if key != held_key:
                     found = [p for p in pairs(held) if p not in seen]
                     if len(seen) > 500_000:
@@ -268,7 +275,7 @@ def _cross(percent: int):
                     seen.update(found)
                     out += found
                     held_key, held = key, []
-                held.append(tuple(row))
+                held.append((name, comp, n, sk, must, side))
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
         out = [p for p in pairs(held) if p not in seen]
         yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
@@ -276,6 +283,16 @@ def _cross(percent: int):
     return work
 
 
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` with the blocks (one, other) that they are compared in, and their side; as often as they have to be."""
+    own, n_one, n_other = F.xxhash64("class"), F.col("n_one"), F.col("n_other")
+    at = lambda one, other, side: F.struct(one.cast("long").alias("one"), other.cast("long").alias("other"), F.lit(side).alias("side"))
+    first = F.transform(F.sequence(F.lit(0), n_other - 1), lambda x: at(F.pmod(own, n_one), x, 1))
+    second = F.transform(F.sequence(F.lit(0), n_one - 1), lambda x: at(x, F.pmod(own, n_other), 2))
+    places = F.when((n_one == 1) & (n_other == 1), F.array(at(F.lit(0), F.lit(0), 0))).otherwise(F.when(F.col("must"), F.concat(first, second)).otherwise(second))
+    return rows.withColumn("at", F.explode(places)).select("key", "at.one", "at.other", "class", "root", "n", "sketch", "must", "at.side")
+
+
 def _links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int, filter_bits: int) -> DataFrame:
     """The similar ones of candidate ``pairs`` (a, b)."""
     one = classes.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
@@ -299,7 +316,7 @@ def _links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int,
     return stash(full.select("a", "b", "xa", "xb").mapInArrow(_verify(percent), "a long, b long"), "links")
 
 
-def similar(docs: DataFrame, percent: int = PERCENT, filter_bits: int = 24) -> DataFrame:
+def similar(docs: DataFrame, percent: int = PERCENT, filter_bits: int = 24, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles and component_id for each row of ``docs`` (doc_id, text).
 
     Two rows link when 100 * |intersection| >= percent * |union| of their shingle sets; component_id is
@@ -312,7 +329,9 @@ def similar(docs: DataFrame, percent: int = PERCENT, filter_bits: int = 24) -> D
     base = stash(docs.mapInArrow(_classify, "doc_id long, n_shingles long, class long, sketch binary"), "classified")
     classes = base.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = stash(classes, "classes")
-    keys = docs.select("text").mapInArrow(_emit(percent), "key long, class long, meta long")
+    # one document of each class will do, and few others pass the filter
+    heads = bitmap(classes.select(F.xxhash64("least").alias("least")), filter_bits)
+    keys = docs.select("text", F.xxhash64("doc_id").alias("h")).mapInArrow(_emit(percent, heads, filter_bits), "key long, class long, meta long")
     found = keys.repartition(partitions(spark), "key").sortWithinPartitions("key", "class").mapInArrow(_groups, "key long, class long, meta long")
     found = stash(found, "groups")
     # Each meets the member of its group that is in most groups, so that a family has few centres.
@@ -325,19 +344,22 @@ def similar(docs: DataFrame, percent: int = PERCENT, filter_bits: int = 24) -> D
     # groups that are not in one component yet
     rows = found.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     mixed = rows.groupBy("key").agg(
-        F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members"), F.min("class").alias("lead"), F.bit_xor(F.xxhash64("class")).alias("sign"),
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members"), F.bit_xor(F.xxhash64("class")).alias("sign"),
     ).where("lo <> hi and members > 2").drop("lo", "hi")
     # Of the groups with the same members one is enough; all of them count in what follows.
-    mixed = stash(mixed.join(mixed.groupBy("sign", "members").agg(F.min("key").alias("one")), ["sign", "members"]).select("key", "members", "lead", (F.col("key") == F.col("one")).alias("one")), "mixed-keys")
+    mixed = stash(mixed.join(mixed.groupBy("sign", "members").agg(F.min("key").alias("first")), ["sign", "members"]).select("key", "members", (F.col("key") == F.col("first")).alias("is_first")), "mixed-keys")
     rows = stash(rows.join(mixed, "key"), "mixed")
     band = F.shiftright("meta", 8).bitwiseAND(255)
     hot = rows.where(F.col("members") > HOT).withColumn("band", band)
     short = hot.groupBy("class", "band").agg(F.count("*").alias("shared"), F.min(F.col("meta").bitwiseAND(255)).alias("spare")).where("shared > spare")
-    hot = stash(hot.join(short.select("class", "band", F.lit(True).alias("must")), ["class", "band"], "left").where("one").select("key", "lead", "class", "root", F.coalesce("must", F.lit(False)).alias("must")), "hot")
-    hot = hot.join(hot.where("must").select("key").distinct(), "key", "left_semi")
-    rows = rows.where((F.col("members") <= HOT) & F.col("one")).select("key", "lead", "class", "root", F.lit(True).alias("must")).union(hot.select("key", "lead", "class", "root", "must"))
-    rows = rows.join(classes.select("class", "n", "sketch"), "class").select("lead", "key", "class", "root", "n", "sketch", "must")
-    rest = rows.repartition(partitions(spark), "lead").sortWithinPartitions("lead", "key").drop("lead").mapInArrow(_cross(percent), "a long, b long").distinct()
+    hot = stash(hot.join(short.select("class", "band", F.lit(True).alias("must")), ["class", "band"], "left").where("is_first").select("key", "class", "root", F.coalesce("must", F.lit(False)).alias("must")), "hot")
+    blocks = hot.groupBy("key").agg(*[F.ceil(x / block).cast("int").alias(c) for c, x in (("n_one", F.count_if("must")), ("n_other", F.count("*")))])
+    hot = hot.join(blocks.where("n_one > 0"), "key")
+    one = F.lit(1)
+    rows = rows.where((F.col("members") <= HOT) & F.col("is_first")).select("key", "class", "root", F.lit(True).alias("must"), one.alias("n_one"), one.alias("n_other")).unionByName(hot)
+    rows = _in_blocks(rows.join(classes.select("class", "n", "sketch"), "class"))
+    place = ["key", "one", "other"]
+    rest = rows.repartition(partitions(spark), *place).sortWithinPartitions(*place).mapInArrow(_cross(percent), "a long, b long").distinct()
     rest = stash(rest.join(stars, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         links = links.union(_links(docs, rest, classes, percent, filter_bits))
@@ -351,7 +373,11 @@ def similar(docs: DataFrame, percent: int = PERCENT, filter_bits: int = 24) -> D
 
 
 def representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row of ``docs`` for each component: that of the least doc_id (of several rows with one id, any of them)."""
+    """One row of ``docs`` for each component, with all its columns: that of the least doc_id, nulls last (of several rows with one
+    id, any of them).
+
+    Null and empty texts are components of their own, so all of them stay; an empty table gives none.
+    """
     found = stash(similar(docs, percent), "similar")
     if found.groupBy("doc_id").count().where("count > 1").isEmpty():
         gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone_id"))

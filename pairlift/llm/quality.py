@@ -6,12 +6,15 @@ repeats earlier words of the document.  The network (Ilse, Tomczak and Welling,
 h = tanh(W x + b), weighs them by gated attention, softmax of w . (tanh(V h) * sigmoid(U h)), and scores the
 weighted mean of h.  It learns from document labels only.
 
-Training runs on the driver over the encoded passages of at most ``sample`` labelled documents, those
-with the least hash of their ids; that is the one bounded sample here.  Scoring needs no shuffle.
+Training runs on the driver over at most ``PASSAGES`` evenly spaced passages of each of at most ``sample`` labelled
+documents, those with the least hash of their ids; that is the one bounded sample here.  Scoring takes all passages and
+needs no shuffle.  It is done in double precision and a score's logit is rounded to ``DECIMALS``, so that equal texts
+get equal scores whatever stands beside them.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -24,7 +27,11 @@ from pairlift.llm.common import mix, table, text_bytes
 
 PASSAGE = 64
 SAMPLE = 2000
+PASSAGES = 128
+DECIMALS = 6
 THRESHOLD = 0.7
+#: Longer texts (bytes) are encoded on their own, in pieces of this size.
+LONG = 1 << 20
 FOLDS, HELD_OUT = 4, 2
 
 _GROUPS = [b" ", b"\t\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:", b"!?", b"'\"`", b"-_", b"#*%&$@^~+=", b"|<>\\/{}[]()"]
@@ -38,7 +45,10 @@ FEATURES = CLASSES * CLASSES + 4
 
 
 def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Passage features of the texts, and where each text's passages begin (and the end); a text has one at least."""
+    """Passage features of the texts, and where each text's passages begin (and the end); a text has one at least.
+
+    Takes about 80 bytes for each of the texts, so callers hand over 1 MB or so.
+    """
     # A line break after each text keeps words and pairs apart.
     data = np.frombuffer(b"".join(t + b"\n" for t in texts), np.uint8)
     size = np.array([len(t) + 1 for t in texts], np.int64)
@@ -86,11 +96,89 @@ def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, base
 
 
-def _chunks(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def _first(keys: np.ndarray) -> np.ndarray:
+    """Whether each key is the first of its kind."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    out = np.empty(len(keys), bool)
+    out[order] = np.append(True, keys[1:] != keys[:-1])
+    return out
+
+
+def encode_long(text: bytes, step: int = LONG) -> np.ndarray:
+    """What encode() gives for one text, whose bytes are taken up in pieces; memory is some 15 times the text's at most."""
+    pieces = lambda: ((at, np.frombuffer(text[at : at + step], np.uint8)) for at in range(0, len(text), step))
+    n_words, last = 0, 10
+    for _, part in pieces():
+        inside = np.concatenate([[_CLASS[last]], _CLASS[part]]) > 1
+        n_words += int(np.count_nonzero(inside[1:] & ~inside[:-1]))
+        last = int(part[-1])
+    n_passages, cells = max(1, -(-n_words // PASSAGE)), CLASSES * CLASSES
+    out = np.zeros((n_passages, FEATURES), np.float32)
+    word = np.zeros(n_words, np.uint64)
+    letters = np.zeros(n_passages, np.int64)
+    counts, now = np.zeros((1, cells), np.int64), 0  # of the passage that a piece ends in
+
+    def finish(rows: np.ndarray, first: int) -> None:
+        out[first : first + len(rows), :cells] = np.sqrt(rows / np.maximum(1, rows.sum(1, keepdims=True)))
+
+    begun, start, last = 0, 0, 10  # the words so far, the start of the last of them, the byte before a piece
+    for at, part in itertools.chain(pieces(), [(len(text), np.array([10], np.uint8))]):  # a line break ends the text
+        cls = _CLASS[part]
+        before = np.concatenate([[_CLASS[last]], cls[:-1]])
+        last = int(part[-1])
+        inside = cls > 1
+        begins = inside & (before <= 1)
+        nth = begun + np.cumsum(begins) - 1
+        passage = np.maximum(nth, 0) // PASSAGE
+        low, high = int(passage[0]), int(passage[-1]) + 1
+        block = np.bincount((passage - low) * cells + before * CLASSES + cls, minlength=(high - low) * cells).reshape(-1, cells)
+        if low > now:
+            finish(counts, now)
+        else:
+            block[0] += counts[0]
+        finish(block[:-1], low)
+        counts, now = block[-1:], high - 1
+        own = np.flatnonzero(begins)
+        place = at + np.arange(len(part)) - np.concatenate([[start], own + at])[nth - begun + 1]
+        some = np.flatnonzero(inside)
+        if len(some):
+            cut = np.flatnonzero(np.append(True, nth[some][1:] != nth[some][:-1]))
+            code = mix((part[some].astype(np.uint64) << np.uint64(20)) + place[some].astype(np.uint64))
+            word[nth[some][cut]] += np.add.reduceat(code, cut)
+            letters[low:high] += np.bincount(passage[some] - low, minlength=high - low)
+        if len(own):
+            start, begun = int(own[-1]) + at, begun + len(own)
+    finish(counts, now)
+    if n_words:
+        own = np.arange(n_words) // PASSAGE
+        words = np.bincount(own, minlength=n_passages)
+        key = mix(word + mix(np.zeros(1, np.uint64)))
+        del word
+        out[:, -1] = np.bincount(own, weights=_first(key), minlength=n_passages) / words
+        run = key.copy()
+        run[2:] = mix(key[2:] + np.uint64(3) * key[1:-1] + np.uint64(5) * key[:-2])
+        del key
+        out[:, -2] = np.bincount(own, weights=_first(run), minlength=n_passages) / words
+        out[:, -3] = letters / words
+        out[:, -4] = np.log1p(words)
+    return out
+
+
+def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """encode(), with a long text on its own."""
+    if len(texts) == 1 and len(texts[0]) > LONG:
+        x = encode_long(texts[0])
+        return x, np.array([0, len(x)])
+    return encode(texts)
+
+
+def _chunks(texts: list[bytes], most: int = LONG) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``most`` bytes; a longer text is alone."""
     at = 0
     while at < len(texts):
-        stop, size = at, 0
-        while stop < len(texts) and size < most:
+        stop, size = at + 1, len(texts[at])
+        while stop < len(texts) and size + len(texts[stop]) <= most:
             size += len(texts[stop])
             stop += 1
         yield at, stop
@@ -114,17 +202,26 @@ class Model(NamedTuple):
 
     def score(self, x: np.ndarray, base: np.ndarray) -> np.ndarray:
         """A number from 0 to 1 for each bag of rows base[i] to base[i + 1]."""
-        return _sigmoid(_forward(self, (x - self.mean) / self.scale, base)[-1]).astype(np.float64)
+        m = Model(*(np.asarray(a, np.float64) for a in self))
+        h, e = np.empty((len(x), len(m.b))), np.empty(len(x))
+        for at in range(0, len(x), 4096):
+            part = np.tanh((x[at : at + 4096] - m.mean) / m.scale @ m.w + m.b)
+            h[at : at + 4096], e[at : at + 4096] = part, np.tanh(part @ m.v) * _sigmoid(part @ m.u) @ m.a
+        return _sigmoid(np.round(_pool(h, e, base)[-1] @ m.c + m.d[0], DECIMALS))
 
 
-def _forward(m: Model, x: np.ndarray, base: np.ndarray):
-    h = np.tanh(x @ m.w + m.b)
-    t, g = np.tanh(h @ m.v), _sigmoid(h @ m.u)
-    e = (t * g) @ m.a
+def _pool(h: np.ndarray, e: np.ndarray, base: np.ndarray):
+    """Of passages h with attention logits e: their shares and bags, and the weighted mean of each bag."""
     bag = np.repeat(np.arange(len(base) - 1), np.diff(base))
     e = np.exp(e - np.maximum.reduceat(e, base[:-1])[bag])
     share = e / np.add.reduceat(e, base[:-1])[bag]
-    z = np.add.reduceat(share[:, None] * h, base[:-1], axis=0)
+    return share, bag, np.add.reduceat(share[:, None] * h, base[:-1], axis=0)
+
+
+def _forward(m: Model, x: np.ndarray, base: np.ndarray):
+    h = np.tanh(x @ m.w + m.b)
+    t, g = np.tanh(h @ m.v), _sigmoid(h @ m.u)
+    share, bag, z = _pool(h, (t * g) @ m.a, base)
     return h, t, g, share, bag, z, z @ m.c + m.d[0]
 
 
@@ -178,13 +275,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | flo
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded, so its broadcast is
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = text_bytes(b.column(1))
+        for batch in batches:
+            texts = text_bytes(batch.column(1))
             rows = []
             for at, stop in _chunks(texts):
-                x, base = encode(texts[at:stop])
-                rows += [x[base[i] : base[i + 1]].astype(np.float16).tobytes() for i in range(stop - at)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(rows, pa.binary())], names=["doc_id", "quality", "x"])
+                x, base = features(texts[at:stop])
+                for a, b in zip(base[:-1], base[1:], strict=True):
+                    some = np.arange(a, b) if b - a <= PASSAGES else np.linspace(a, b - 1, PASSAGES).astype(np.int64)
+                    rows.append(x[some].astype(np.float16).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.binary())], names=["doc_id", "quality", "x"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "quality").mapInArrow(work, "doc_id long, quality int, x binary")
     rows = sorted(rows.collect(), key=lambda r: (r.doc_id, r.x))
@@ -199,7 +298,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | flo
 def score_texts(texts: list[bytes], model: Model | float) -> np.ndarray:
     if isinstance(model, float):
         return np.full(len(texts), model)
-    parts = [model.score(*encode(texts[at:stop])) for at, stop in _chunks(texts)]
+    parts = [model.score(*features(texts[at:stop])) for at, stop in _chunks(texts)]
     return np.concatenate(parts) if parts else np.zeros(0)
 
 
@@ -217,7 +316,10 @@ def score(docs: DataFrame, model: Model | float) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model | float, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose text scores at least ``threshold``, as they are."""
+    """The rows of ``docs`` whose text scores at least ``threshold``, as they are, with all their columns.
+
+    Null texts count as empty and are judged like any; repeated rows have one fate, and an empty table gives none.
+    """
     at = docs.columns.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

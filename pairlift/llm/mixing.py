@@ -4,8 +4,8 @@ Every source gets a token target: the total size shared by weight, no source abo
 its own size, the excess shared among the others.  A target is met by whole epochs of the source and
 then a fractional one, drawn by Efraimidis-Spirakis sampling: a document of quality weight w gets the key
 -ln(u)/w with u uniform from a hash of its id, and the documents with the least keys are taken
-while their sizes, summed in key order, stay within what is left.  Then up to ``FILLERS`` further documents,
-each the one whose size is nearest to the gap, are added as long as that brings the source nearer to its target; such a
+while their sizes, summed in key order, stay within what is left.  Then up to ``FILLERS`` further documents fill the
+gap, each the largest that fits in it, and where none fits the smallest, if that brings the source nearer to its target; such a
 document may be one that is taken already, but none is taken more often than ``cap`` times.
 
 No task sees a whole source.  Keys fall into buckets of about ``bucket_rows`` rows; bucket sums find
@@ -56,18 +56,19 @@ def targets(sources: DataFrame, weights: tuple[float, ...], cap: float) -> DataF
     return s.select("source", "source_size", "weight", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, seed: str = SEED, bucket_rows: int = 1000) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, seed: str = SEED, bucket_rows: int = 1000, tie: str | None = None) -> DataFrame:
     """How often each row of ``docs`` (doc_id, size long, source, and its weight as quality) is taken.
 
     Returns the rows with source_size, target (the source's), epochs, extra (times beyond those) and taken.
     Sources weigh ``weights`` in turn, by code point, null (a source of its own) last.  Repeated
-    rows are documents of their own.  A source without words has the target 0.  Equal keys go by doc_id and size.  An empty
-    table gives none; other columns of ``docs`` do not matter.
+    rows are documents of their own.  A source without words has the target 0.  Equal keys go by doc_id, size and the column
+    ``tie``, if one is named (it is returned, too).  An empty table gives none; other columns of ``docs`` do not matter.
     """
     # The row number is fixed by the write; it only tells equal rows apart.
+    ties = [tie] if tie else []
     key = -F.log(uniform(seed, F.col("doc_id"))) / F.col("quality")
     rows = stash(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("size").cast("long").alias("size"), key.alias("key"), F.monotonically_increasing_id().alias("row")),
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("size").cast("long").alias("size"), key.alias("key"), F.monotonically_increasing_id().alias("row"), *ties),
         "sizes",
     )
     sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
@@ -80,7 +81,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.
         ).withColumn("left", F.col("target") - F.col("epochs") * F.col("source_size")),
         "sources",
     )
-    # 1 - exp(-key) lies in [0, 1) and grows with the key; a power evens it out for other weights than 1.
+    # 1 - exp(-key) lies in [0, 1) and grows with the key; it is even for the weight 1.
     r, s = rows.alias("r"), sources.alias("s")
     same = F.col("r.source").eqNullSafe(F.col("s.source"))
     spot = F.least(F.floor((1 - F.exp(-F.col("key"))) * F.col("buckets")), F.col("buckets") - 1)
@@ -96,7 +97,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.
     l = stash(last, "ends").alias("l")  # noqa: E741
     placed = placed.alias("p").join(l, F.col("p.source").eqNullSafe(F.col("l.source")), "left").select("p.*", "end", "base")
     ending = F.col("bucket") == F.col("end")
-    in_key_order = Window.partitionBy("source").orderBy("key", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
+    in_key_order = Window.partitionBy("source").orderBy("key", "doc_id", "size", *ties, "row").rowsBetween(Window.unboundedPreceding, 0)
     inside = placed.where(ending).withColumn("through", F.col("base") + F.sum("size").over(in_key_order))
     chosen = inside.withColumn("extra", (F.col("through") <= F.col("left")).cast("int"))
     outside = placed.where(~ending | F.col("end").isNull()).withColumn(
@@ -110,13 +111,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.
     pool = (
         picked.where((F.col("epochs") + F.col("extra") + 1 <= cap) & (F.col("size") > 0) & (F.col("size") < 2 * F.col("gap")))
         .groupBy("source", "size")
-        .agg(F.first("gap").alias("gap"), F.min(F.struct("extra", "key", "doc_id", "row")).alias("doc"))
+        .agg(F.first("gap").alias("gap"), F.min(F.struct("extra", "key", "doc_id", *ties, "row")).alias("doc"))
         .groupBy("source")
         .agg(F.first("gap").alias("gap"), F.collect_list(F.struct("size", "doc")).alias("pool"))
     )
     best = (
         "array_min(transform(filter(pool, p -> abs(p.size - acc.gap) < acc.gap and not array_contains(acc.rows, p.doc.row)), "
-        "p -> struct(abs(p.size - acc.gap) as off, p.doc as doc, p.size as size)))"
+        "p -> struct(p.size > acc.gap as over, abs(p.size - acc.gap) as off, p.doc as doc, p.size as size)))"
     )
     filler = (
         pool.selectExpr(
@@ -131,7 +132,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.
         picked.drop("gap").join(filler, "row", "left")
         .withColumn("extra", F.col("extra") + F.coalesce("more", F.lit(0)))
         .withColumn("taken", (F.col("size") * (F.col("epochs") + F.col("extra"))).cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "epochs", "extra", "taken")
+        .select("doc_id", "source", "size", "source_size", "target", "epochs", "extra", "taken", *ties)
     )
 
 
@@ -150,15 +151,27 @@ def sized(docs: DataFrame) -> DataFrame:
 def mixture(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The mix of ``docs`` itself: each row as often as it is taken, none for those that aren't.
 
-    Rows that share a doc_id are told apart by their sizes.
+    Null and empty texts have the size 0 and are taken like any other; a null source is one of its own, and an empty
+    table gives none.  Rows that share a doc_id are told apart by a 128-bit hash of all their columns; rows that
+    are equal in all are taken together as often as they are each.  Other columns stay as they are.
+
+    What is taken is decided on ids and sizes; texts move once, to meet it.
     """
-    columns = [F.col(f"own.`{c}`") for c in docs.columns]
-    taken = mix(with_quality(sized(docs), labels)).select("doc_id", "size", (F.col("epochs") + F.col("extra")).alias("copies"))
-    taken = taken.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("size"))).alias("taken")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(words(F.col("text"))))
-    own = docs.withColumn("_own_nth", nth).alias("own")
-    joined = own.join(taken, F.col("own.doc_id").eqNullSafe(F.col("taken.doc_id")) & (F.col("_own_nth") == F.col("taken.nth"))).where("taken.copies > 0")
-    return joined.select(*columns, F.explode(F.sequence(F.lit(1), F.col("taken.copies"))).alias("_copy")).drop("_copy")
+    repeated = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    sized_docs = docs.select("doc_id", "source", words(F.col("text")).alias("size"))
+    keys = ["doc_id"]
+    if repeated:
+        digest = F.struct(F.xxhash64(F.lit(1), *docs.columns).alias("a"), F.xxhash64(F.lit(2), *docs.columns).alias("b"))
+        docs = docs.withColumn("_digest", digest)
+        sized_docs = docs.select("doc_id", "source", words(F.col("text")).alias("size"), "_digest")
+        keys.append("_digest")
+    taken = mix(with_quality(sized_docs, labels), tie="_digest" if repeated else None)
+    copies = taken.groupBy(*keys).agg(F.sum(F.col("epochs") + F.col("extra")).alias("copies")).where("copies > 0").alias("taken")
+    own = (docs.dropDuplicates(keys) if repeated else docs).alias("own")
+    columns = [F.col(f"own.`{c}`") for c in docs.columns if c != "_digest"]
+    same = [F.col(f"own.{k}").eqNullSafe(F.col(f"taken.{k}")) for k in keys]
+    joined = own.join(copies, same[0] & same[1] if repeated else same[0])
+    return joined.select(*columns, F.explode(F.sequence(F.lit(1), F.col("taken.copies").cast("int"))).alias("_copy")).drop("_copy")
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +221,7 @@ WITH sized AS (
 def _round(i: int) -> str:
     off = f"abs(size - gap_{i - 1})"
     fits = f"more_{i - 1} = 0 AND {off} < gap_{i - 1}"
-    first = f"row_number() OVER (PARTITION BY source ORDER BY CASE WHEN {fits} THEN {off} END ASC NULLS LAST, extra, k, doc_id) = 1"
+    first = f"row_number() OVER (PARTITION BY source ORDER BY NOT ({fits}), size > gap_{i - 1}, {off}, extra, k, doc_id) = 1"
     return f"""
 , try_{i} AS (SELECT *, CASE WHEN {first} AND {fits} THEN 1 ELSE 0 END AS now_{i} FROM pool_{i - 1}),
 pool_{i} AS (SELECT *, more_{i - 1} + now_{i} AS more_{i},

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pairlift.llm.common import stash, table, text_bytes
+from pairlift.llm.common import stash, table, text_bytes, worker_cache
 
 CAPACITY = 4096
 END_ID = 1
@@ -34,8 +34,6 @@ _PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 #: Letters whose lower case and composed form do not depend on their neighbours.
 _PLAIN = re.compile("[A-Za-z\u00aa-\u012f\u0131-\u024f]+")
 
-_encoders: dict[str, "WordEncoder"] = {}
-
 
 class _Recent(dict):
     """A dict of at most about ``limit`` entries that forgets those not used for longest.
@@ -78,7 +76,7 @@ class WordEncoder:
     vocabulary's merges directly; any other new word through the whole tokenizer.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -145,9 +143,7 @@ class WordEncoder:
 
 def encoder(path: str) -> WordEncoder:
     """This worker's encoder; it outlives a task."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return worker_cache("encoder " + path, lambda: WordEncoder(path))
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"

@@ -91,16 +91,17 @@ def _piece(layer: Layer, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
     return layer.starts[a:b], layer.ends[a:b]
 
 
-def _utf8(data: bytes) -> list[tuple[str, int, int]] | None:
-    """Characters with the byte range of each; None unless the bytes are UTF-8."""
+def _utf8(data: bytes, strict: bool = False) -> list[tuple[str, int, int]] | None:
+    """Characters with the byte range of each; bytes that are not UTF-8 give U+FFFD each, or None for all if strict."""
     try:
-        text = data.decode()
+        text = data.decode(errors="strict" if strict else "surrogateescape")
     except UnicodeDecodeError:
         return None
     out, at = [], 0
     for c in text:
-        n = len(c.encode())
-        out.append((c, at, at + n))
+        odd = "\udc80" <= c <= "\udcff"
+        n = 1 if odd else len(c.encode())
+        out.append(("\ufffd" if odd else c, at, at + n))
         at += n
     return out
 
@@ -241,14 +242,14 @@ def _readable(text: str) -> bool:
 
 
 def _unpacked(data: bytes, start: int, end: int, limit: int) -> Iterator[Layer]:
-    """The texts in a compressed stream; each has the span of the whole run."""
+    """What is in a compressed stream, readable or not; each piece has the span of the whole run."""
     decoder, tail, held = codecs.getincrementaldecoder("utf-8")("replace"), "", b""
 
     def layer(piece: bytes, final: bool) -> Iterator[Layer]:
         nonlocal tail
         text = tail + decoder.decode(piece, final)
         tail = text[-min(OVERLAP, limit // 2) :]
-        if _readable(text):
+        if text:
             n = len(text)
             yield Layer(text, np.broadcast_to(np.int64(start), n), np.broadcast_to(np.int64(end), n))
 
@@ -280,7 +281,7 @@ def _decoded(run: str, starts: np.ndarray, ends: np.ndarray, limit: int, whole:
             yield from _unpacked(data[at:], *whole, limit)
     parts = [m.span() for m in _TEXT.finditer(data)]
     if parts != [(0, len(data))]:
-        got = _utf8(data)
+        got = _utf8(data, strict=True)
         if got and _readable("".join(c for c, _, _ in got)):
             parts.append((0, len(data)))
     for a, b in parts:
@@ -350,7 +351,8 @@ def find_secrets(docs: DataFrame, max_layer: int = MAX_LAYER) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[secret]", max_layer: int = MAX_LAYER) -> DataFrame:
     """``docs`` with every finding in ``text`` replaced by ``mark`` (overlapping ones as one) and n_chars to match.
 
-    Rows without findings, null texts among them, stay as they are.
+    Rows without findings, null and empty texts among them, stay as they are, and so do all other columns.  Repeated rows
+    repeat; an empty table gives none.
     """
     at = docs.columns.index("text")
     count = docs.columns.index("n_chars") if "n_chars" in docs.columns else None

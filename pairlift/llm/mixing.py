@@ -4,7 +4,7 @@ Every source gets a token target: the total size shared by weight, no source abo
 its own size, the excess shared among the others.  A target is met by whole epochs of the source and
 then a fractional one, drawn by Efraimidis-Spirakis sampling: a document of quality weight w gets the key
 -ln(u)/w with u uniform from a hash of its id, and the documents with the least keys are taken
-while their sizes, summed in key order, stay within what is left.  Then up to ``FILLERS`` further documents fill the
+while their sizes, summed in key order, stay within what is left (a document that alone is larger does not count).  Then up to ``FILLERS`` further documents fill the
 gap, each the largest that fits in it, and where none fits the smallest, if that brings the source nearer to its target; such a
 document may be one that is taken already, but none is taken more often than ``cap`` times.
 
@@ -22,7 +22,7 @@ from pairlift.llm.common import WORD, stash, table
 
 SEED = "mix-1"
 #: Documents that may be added to fill the gap that whole documents leave.
-FILLERS = 6
+FILLERS = 12
 #: Quality weights of labelled documents; others weigh 1.
 LABEL_WEIGHTS = {1: 2.0, 0: 0.5}
 
@@ -86,7 +86,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.
     same = F.col("r.source").eqNullSafe(F.col("s.source"))
     spot = F.least(F.floor((1 - F.exp(-F.col("key"))) * F.col("buckets")), F.col("buckets") - 1)
     placed = r.join(s, same).select("r.*", "source_size", "target", "epochs", "left", spot.alias("bucket"))
-    sums = placed.groupBy("source", "bucket").agg(F.sum("size").alias("sum"), F.first("left").alias("left"))
+    placed = placed.withColumn("fits", F.col("size") <= F.col("left"))
+    own_size = F.when(F.col("fits"), F.col("size")).otherwise(0)
+    sums = placed.groupBy("source", "bucket").agg(F.sum(own_size).alias("sum"), F.first("left").alias("left"))
     up_to = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     last = (
         sums.withColumn("through", F.sum("sum").over(up_to))
@@ -98,22 +100,22 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.
     placed = placed.alias("p").join(l, F.col("p.source").eqNullSafe(F.col("l.source")), "left").select("p.*", "end", "base")
     ending = F.col("bucket") == F.col("end")
     in_key_order = Window.partitionBy("source").orderBy("key", "doc_id", "size", *ties, "row").rowsBetween(Window.unboundedPreceding, 0)
-    inside = placed.where(ending).withColumn("through", F.col("base") + F.sum("size").over(in_key_order))
-    chosen = inside.withColumn("extra", (F.col("through") <= F.col("left")).cast("int"))
+    inside = placed.where(ending).withColumn("through", F.col("base") + F.sum(own_size).over(in_key_order))
+    chosen = inside.withColumn("extra", (F.col("fits") & (F.col("through") <= F.col("left"))).cast("int"))
     outside = placed.where(~ending | F.col("end").isNull()).withColumn(
-        "extra", F.when((F.col("end").isNull() & (F.col("left") > 0)) | (F.col("bucket") < F.col("end")), 1).otherwise(0)
+        "extra", F.when(F.col("fits") & ((F.col("end").isNull() & (F.col("left") > 0)) | (F.col("bucket") < F.col("end"))), 1).otherwise(0)
     )
-    reached = chosen.groupBy("source").agg((F.first("left") - F.first("base") - F.coalesce(F.sum(F.when(F.col("extra") == 1, F.col("size"))), F.lit(0))).alias("gap"))
+    picked = outside.drop("end", "base").unionByName(chosen.drop("through", "end", "base"))
+    reached = picked.groupBy("source").agg((F.first("left") - F.coalesce(F.sum(F.when(F.col("extra") == 1, F.col("size"))), F.lit(0))).alias("gap"))
     reached = stash(reached, "gaps")
-    picked = outside.drop("end", "base").unionByName(chosen.drop("through", "end", "base")).alias("c")
-    picked = picked.join(reached.alias("g"), F.col("c.source").eqNullSafe(F.col("g.source")), "left").select("c.*", "gap")
-    # Per source one document of each size that may help, which is bounded by the longest text.
+    picked = picked.alias("c").join(reached.alias("g"), F.col("c.source").eqNullSafe(F.col("g.source")), "left").select("c.*", "gap")
+    # Per source a few documents of each size that may help, which is bounded by the longest text.
+    some = picked.where((F.col("epochs") + F.col("extra") + 1 <= cap) & (F.col("size") > 0) & (F.col("size") < 2 * F.col("gap")))
+    nth = F.row_number().over(Window.partitionBy("source", "size").orderBy("extra", "key", "doc_id", *ties, "row"))
     pool = (
-        picked.where((F.col("epochs") + F.col("extra") + 1 <= cap) & (F.col("size") > 0) & (F.col("size") < 2 * F.col("gap")))
-        .groupBy("source", "size")
-        .agg(F.first("gap").alias("gap"), F.min(F.struct("extra", "key", "doc_id", *ties, "row")).alias("doc"))
+        some.withColumn("nth", nth).where((F.col("nth") <= FILLERS) & (F.col("nth") <= F.greatest(F.lit(1.0), F.col("gap") / F.col("size"))))
         .groupBy("source")
-        .agg(F.first("gap").alias("gap"), F.collect_list(F.struct("size", "doc")).alias("pool"))
+        .agg(F.first("gap").alias("gap"), F.collect_list(F.struct("size", F.struct("extra", "key", "doc_id", *ties, "row").alias("doc"))).alias("pool"))
     )
     best = (
         "array_min(transform(filter(pool, p -> abs(p.size - acc.gap) < acc.gap and not array_contains(acc.rows, p.doc.row)), "
@@ -206,15 +208,15 @@ WITH sized AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM goals
 ), drawn AS (
   SELECT d.doc_id, d.source, d.size, d.k, source_size, target, epochs, target - epochs * source_size AS rest,
-    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS through
+    sum(CASE WHEN d.size <= target - epochs * source_size THEN d.size ELSE 0 END) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS through
   FROM keyed d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source
-), chosen AS (SELECT *, CASE WHEN rest > 0 AND through <= rest THEN 1 ELSE 0 END AS extra FROM drawn
+), chosen AS (SELECT *, CASE WHEN rest > 0 AND size <= rest AND through <= rest THEN 1 ELSE 0 END AS extra FROM drawn
 ), gaps AS (
   SELECT *, rest - coalesce(sum(CASE WHEN extra = 1 THEN size END) OVER (PARTITION BY source), 0) AS gap FROM chosen
 ), pool_0 AS (
   SELECT * EXCLUDE (gap, rn), gap AS gap_0, 0 AS more_0 FROM (
     SELECT *, row_number() OVER (PARTITION BY source, size ORDER BY extra, k, doc_id) AS rn FROM gaps WHERE epochs + extra + 1 <= 3 AND size > 0 AND size < 2 * gap
-  ) WHERE rn = 1
+  ) WHERE rn <= """ + str(FILLERS) + """ AND rn <= greatest(1.0, gap_0 / size)
 )"""
 
 

@@ -42,6 +42,21 @@ def test_fingerprints(docs, rows, bits):
     assert fingerprints.canonical("Ｆoo  BAR\n") == fingerprints.canonical("foo bar")
 
 
+def test_fingerprints_in_many_ranges(spark, monkeypatch):
+    """Ids that fill several ranges, null among them, are cut by a hash; each row still meets the next."""
+    keep = fingerprints.in_order
+    monkeypatch.setattr(fingerprints, "in_order", lambda docs: keep(docs, 50))
+    rows = [(i, f"text {i}") for i in range(40)] + [(7, f"seven {i}") for i in range(60)] + [(None, f"none {i}") for i in range(50)] + [(99, "last")]
+    table = frame(spark, rows)
+    ordered = keep(table, 50)
+    assert ordered.where("after = 0").groupBy("part").count().agg({"count": "max"}).first()[0] < 30
+    by_id = table.select("doc_id", "text", __import__("pyspark").sql.functions.xxhash64("text").alias("h")).collect()
+    order = [(r.doc_id, r.text) for r in sorted(by_id, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.h))]
+    sha = lambda t, following: hashlib.sha256(fingerprints.edited(t, following).encode()).hexdigest()
+    want = sorted(str((i, len(t), sha(t, order[(k + 1) % len(order)][1]))) for k, (i, t) in enumerate(order))
+    assert sorted(str((r.doc_id, r.n_chars, r.edited_sha256)) for r in fingerprints.fingerprints(table).collect()) == want
+
+
 def test_fingerprints_of_odd_tables(spark, empty):
     assert fingerprints.fingerprints(empty).count() == 0
     one = fingerprints.fingerprints(frame(spark, [(7, "abcd")])).first()
@@ -74,10 +89,26 @@ def expected_components(rows, k=5):
     return {rows[i][0]: (len(sets[i]), rows[find(i)][0]) for i in range(len(rows))}
 
 
-@pytest.mark.parametrize("hot", [50, 2])
-def test_similar(docs, rows, hot, monkeypatch):
+@pytest.mark.parametrize(("hot", "block"), [(50, 512), (2, 3)])
+def test_similar(docs, rows, hot, block, monkeypatch):
     monkeypatch.setattr(jaccard, "HOT", hot)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar(docs).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar(docs, block=block).collect()}
+    assert got == expected_components(rows)
+
+
+def test_similar_in_a_crowd(spark, monkeypatch):
+    """A passage that all share, in groups that have to be compared block by block."""
+    from samples import words
+
+    monkeypatch.setattr(jaccard, "HOT", 4)
+    rng = __import__("random").Random(12)
+    passage = words(rng, 40)
+    rows = []
+    for i in range(120):
+        own = words(rng, rng.choice([4, 8, 12, 60])) if i % 3 or not rows else rows[rng.randrange(len(rows))][40:]
+        rows.append(passage + own + ([rng.choice(own)] if i % 3 == 0 else []))
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar(frame(spark, rows), block=7).collect()}
     assert got == expected_components(rows)
 
 
@@ -150,6 +181,28 @@ def test_substrings_of_odd_tables(spark, empty):
     text = " ".join(map(str, range(60)))
     again = substrings.deduplicate(frame(spark, [(1, text), (1, text), (2, text), (1, text + " x"), (None, text)]))
     assert sorted((r.doc_id or 9, r.n_removed) for r in again.collect()) == [(1, 0), (1, 0), (1, 0), (2, 60), (9, 60)]
+    big = [(1 << 44, text), ((1 << 44) + 1, text), ((1 << 63) - 1, text), (None, text), (-5, text + " y")]
+    for more in ([], [(3, "other"), (3, "words")]):  # unique and repeated ids
+        got = substrings.deduplicate(frame(spark, big + more)).collect()
+        assert {r.doc_id: r.n_removed for r in got} == {-5: 0, 1 << 44: 60, (1 << 44) + 1: 60, (1 << 63) - 1: 60, None: 60, **{i: 0 for i, _ in more}}
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_hot_substrings(spark, monkeypatch, repeated):
+    """A passage of a big group, with the edges dealt out and their runs taken up in parts, and a word that goes on and on."""
+    monkeypatch.setattr(substrings, "HOT", 2)
+    monkeypatch.setattr(substrings, "HELD", 5)
+    from samples import words
+
+    rng = __import__("random").Random(8)
+    passage = words(rng, 60)
+    rows = [(i, " ".join(words(rng, i % 9) + passage[i % 4 : 60 - i % 3] + words(rng, i % 5))) for i in range(80)]
+    rows += [(90 + i, "again " * (70 + 5 * i)) for i in range(4)]
+    rows += [(100 + i, " ".join([*passage[i:], "x", *passage[i:], f"y{i % 2}", *passage[i:]])) for i in range(5)]
+    expected = expected_removal(rows)
+    more = [(200, "twice"), (200, "over")] if repeated else []
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.deduplicate(frame(spark, rows + more)).collect() if r.doc_id != 200}
+    assert got == expected
 
 
 # 6
@@ -211,6 +264,35 @@ def test_long_streams(at):
         assert secrets.Span("assign", 2, 2 + len(code.rstrip("="))) in secrets.scan(f"a {code} b", 4000)[1]
 
 
+def test_layers_that_are_unsound_in_part():
+    import base64
+    import gzip
+
+    code = "%FF" + "".join(f"%{ord(c):02x}" for c in "secret=abcdefghijklmnop") + "%C3"
+    assert [(s.kind, s.start, s.end) for s in secrets.scan(code)[1]] == [("assign", 3, len(code) - 3)]
+    code = "\\xff" + "".join(f"\\x{ord(c):02x}" for c in "secret=abcdefghijklmnop")
+    assert [(s.start, s.end) for s in secrets.scan(code)[1]] == [(4, len(code))]
+    binary = bytes(range(128, 256)) * 20 + b" api_key=ABCDEFGHIJKLMNOP " + bytes(range(32)) * 20
+    code = base64.b64encode(gzip.compress(binary)).decode()
+    assert [s.kind for s in secrets.scan(code)[1] if s.kind == "assign"] == ["assign"]
+
+
+def test_secret_spans_of_a_table(spark, docs):
+    """Every row's base findings against a plain scan, and each further span against the layer it stands for."""
+    import base64
+
+    rows = [(i, f"{t} token=abcdefghijkl{i}x {base64.b64encode(f'password: abcdefghijkl{i} and more text'.encode()).decode()}") for i, t in enumerate(["", "AKIA" + "Q" * 16, "0123456789abcdef0", "caf\u00e9 \U0001f600"])]
+    for r in secrets.find_secrets(frame(spark, rows)).collect():
+        t = rows[r.doc_id][1]
+        base = [("assign", *m.span()) for m in secrets.ASSIGN.finditer(t) if len(m[2]) >= 12] + [("access", *m.span()) for m in __import__("re").finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+        base += [("hex", *m.span()) for m in __import__("re").finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+        assert [tuple(s) for s in r.base] == sorted(base, key=lambda s: (s[1], secrets.KINDS.index(s[0])))
+        more = [s for s in r.spans if tuple(s) not in base]
+        at = t.rindex(" ") + 1
+        assert len(more) == 1 and at <= more[0].start < more[0].end <= len(t)
+        assert base64.b64decode(t[at:]).decode()[: 12] == "password: ab"
+
+
 def test_secret_tables(spark, docs, empty):
     assert secrets.find_secrets(empty).count() == 0
     assert secrets.redact(docs).exceptAll(docs).count() == 0
@@ -306,66 +388,72 @@ def test_plan_places_all():
 # 4
 
 
-def test_lm(docs, rows, empty):
-    model, kinds = ngram_lm.fit(docs)
+def counted(rows):
+    """Tokens of each text, counts of tokens and of pairs; None stands for the start of a text."""
     tokens = {i: [*(t or "").encode().lower().split(), b""] for i, t in rows}
-    c = Counter(w for t in tokens.values() for w in t)
-    n, v = sum(c.values()), len(c)
-    assert (model.total, model.kinds) == (n, v)
-    joined = model._replace(words=None)
-    for m in (model, joined):
-        for r in ngram_lm.score(docs, m, kinds).collect():
-            own = tokens[r.doc_id]
-            base = sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in own)
-            assert r.n_tokens == r.n_known == len(own) and math.isclose(r.base_score, base, rel_tol=1e-9)
-            assert r.score <= 0
-    none, kinds = ngram_lm.fit(empty)
-    assert ngram_lm.score(empty, none, kinds).count() == 0
-    unseen = ngram_lm.score(docs, none, kinds).where("doc_id = 0").first()
-    assert unseen.n_known == 0 and unseen.base_score == 0.0
-
-
-def test_filter_counts(spark):
-    h = np.arange(1, 2001, dtype=np.int64) * 0x9E3779B97F4A7C1
-    n = np.arange(2000) % 50 + 1
-    grams = spark.createDataFrame(list(zip(h.tolist(), n.tolist(), strict=True)), "gram long, n long")
-    f = ngram_lm.build(grams, 18)
-    got = f.count(h.view(np.uint64))
-    low = ngram_lm.COUNT_OF[ngram_lm.level(n)]
-    assert (got >= low).all() and (got == low).mean() > 0.98  # never less than was put in
-    assert (f.count((h + 1).view(np.uint64)) > 0).mean() < 0.05
-    bounded, _ = ngram_lm.fit(spark.createDataFrame([(i, " ".join(map(str, range(i % 50)))) for i in range(200)], "doc_id long, text string"), max_bits=10)
-    assert bounded.grams.bits == 10
-
-
-def test_lm_in_shards(docs):
-    """A filter too large for one process keeps every count and scores like one that is broadcast."""
-    whole, kinds = ngram_lm.fit(docs)
-    cut, _ = ngram_lm.fit(docs, max_bits=10)
-    want = {r.doc_id: r.score for r in ngram_lm.score(docs, whole, kinds).collect()}
-    got = {r.doc_id: r.score for r in ngram_lm.score(docs, cut, kinds).collect()}
-    assert set(got) == set(want) and np.mean([math.isclose(got[i], want[i], rel_tol=0.02) for i in want]) > 0.9
-
-
-def test_lm_has_all_counts(docs, rows):
-    """Pairs of any count are in the model, in a filter that is broadcast and in one that is cut into shards."""
-    tokens = {i: [*(t or "").encode().lower().split(), b""] for i, t in rows}
-    one = Counter(w for t in tokens.values() for w in t) + Counter({None: len(tokens)})
+    one = Counter(w for t in tokens.values() for w in t)
     two = Counter(p for t in tokens.values() for p in zip([None, *t], t))  # noqa: B905
-    n, v = sum(one.values()) - one[None], len(one) - 1
-    assert min(two.values()) == 1
-    c = lambda k: ngram_lm.COUNT_OF[ngram_lm.level(np.array(k))]
-    want = {}
-    for i, t in tokens.items():
-        p = [(min(c(two[u, w]), c(one[u])) + ngram_lm.PRIOR * (c(one[w]) + 0.1) / (n + 0.1 * (v + 1))) / (c(one[u]) + ngram_lm.PRIOR) for u, w in zip([None, *t], t)]  # noqa: B905
-        want[i] = float(np.log10(p).sum())
-    for bits in (30, 10):
-        model, kinds = ngram_lm.fit(docs, max_bits=bits)
-        assert isinstance(model.grams, ngram_lm.Shards) == (bits == 10)
-        for m in (model, model._replace(words=None)):
-            got = {r.doc_id: r.score for r in ngram_lm.score(docs, m, kinds).collect()}
-            assert set(got) == set(want)
-            assert np.mean([math.isclose(got[i], want[i], rel_tol=0.02) for i in want]) > 0.9
+    return tokens, one, two
+
+
+@pytest.mark.parametrize("most", [1 << 30, 0])
+def test_lm(docs, rows, empty, most):
+    """Against plain counts, with the model broadcast and in shards."""
+    tokens, one, two = counted(rows)
+    n, v = sum(one.values()), len(one)
+    model, shards = ngram_lm.fit(docs, most)
+    assert (model.total, model.kinds, model.words is None) == (n, v, most == 0) and min(two.values()) == 1
+    low = lambda c: int(ngram_lm.COUNT_OF[ngram_lm.level(np.array(c))])
+    unigram = lambda w: (one[w] + 0.1) / (n + 0.1 * (v + 1))
+
+    def p(u, w):
+        before = len(tokens) if u is None else one[u]
+        share, j = ngram_lm.PRIOR / (before + ngram_lm.PRIOR), int(ngram_lm.level(np.array(two[u, w])))
+        most_of = ngram_lm.EXCESS / 2**j / model.rate**j * unigram(w)
+        return (1 - share) * min(low(two[u, w]) / before, most_of) / (1 + ngram_lm.EXCESS + 2 * model.rate) + share * unigram(w)
+
+    exact = []
+    for r in ngram_lm.score(docs, model, shards).collect():
+        own = tokens[r.doc_id]
+        assert r.n_tokens == r.n_known == len(own) and math.isclose(r.base_score, sum(math.log10(unigram(w)) for w in own), rel_tol=1e-9)
+        expected = sum(math.log10(p(u, w)) for u, w in zip([None, *own], own))  # noqa: B905
+        exact.append(math.isclose(r.score, expected, rel_tol=1e-9))
+        assert math.isclose(r.score, expected, rel_tol=0.02)  # a level too high, by a false positive
+    assert np.mean(exact) > 0.8
+    none, shards = ngram_lm.fit(empty, most)
+    assert ngram_lm.score(empty, none, shards).count() == 0
+    unseen = ngram_lm.score(docs, none, shards).where("doc_id = 0").first()
+    assert unseen.n_known == 0 and unseen.base_score == 0.0 and unseen.score == 0.0
+
+
+def test_lm_sums_to_one_at_most():
+    """Over the vocabulary and the unseen token, after frequent, middling and rare words and after the start."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{x}" for x in np.minimum(rng.zipf(1.2, 60), 5000)).encode() for _ in range(3000)]
+    h, base = ngram_lm.tokens(texts)
+    words = ngram_lm.Words(*np.unique(np.append(h, np.full(len(texts), ngram_lm.START)), return_counts=True))
+    bits = ngram_lm.build(*np.unique(ngram_lm.pairs(h, base), return_counts=True))
+    f = ngram_lm.Filter(np.array([len(bits)]), np.array([0]), np.packbits(bits, bitorder="little"))
+    m = ngram_lm.Model(len(h), len(words.h) - 1, bits.mean() ** ngram_lm.PROBES, words, f)
+    own = words.h != ngram_lm.START
+    kinds, c = words.h[own], words.n[own]
+    by_count = np.argsort(-words.n)
+    for u in [u for u in [*by_count[:20], *by_count[200:220], *by_count[-20:]] if words.h[u] != ngram_lm.END]:  # nothing follows the end
+        two = np.stack([np.full(len(kinds), words.h[u]), kinds], 1).ravel()
+        lev = f.levels(ngram_lm.pairs(two, np.array([0, len(two)]))[1::2])
+        total = m.probability(lev, c, np.full(len(c), words.n[u])).sum() + m.unigram(np.zeros(1))[0]
+        assert 0.5 < total < 1.02
+
+
+def test_filter_counts():
+    h = np.arange(1, 20_001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    n = np.arange(20_000) % 50 + 1
+    bits = ngram_lm.build(h, n)
+    f = ngram_lm.Filter(np.array([len(bits)]), np.array([0]), np.packbits(bits, bitorder="little"))
+    lev = f.levels(h)
+    assert (lev >= ngram_lm.level(n)).all() and (lev == ngram_lm.level(n)).mean() > 0.98  # never less than was put in
+    assert (f.levels(h + np.uint64(1)) > 0).mean() < 0.02
+    assert (ngram_lm.COUNT_OF[ngram_lm.level(n)] <= n).all()
 
 
 # 7
@@ -387,6 +475,36 @@ def test_quality(spark, docs, empty):
     assert kept.columns == table.columns and {r.doc_id for r in kept.collect()} == {i for i, s in got.items() if s >= 0.7}
     assert quality.score(empty, model).count() == 0
     assert quality.fit(table, labels.where("quality = 1")) == 1.0 and quality.fit(empty, labels) == 0.5
-    alone = quality.score_texts([good[0].encode(), b"", bad[0].encode()], model)  # a text's score does not depend on its neighbours
-    for t, s in zip((good[0], "", bad[0]), alone, strict=True):
-        assert math.isclose(quality.score_texts([t.encode()], model)[0], s, abs_tol=1e-5)
+    texts = [t.encode() for t in (good[0], "", bad[0])]
+    for beside in ([], texts, [b"other words"] * 7, [b"a" * 70_000, *texts, b"b c " * 400_000], texts * 50):  # a text's score does not depend on its neighbours
+        found = quality.score_texts([*beside, *texts, *beside], model)[len(beside) :]
+        assert found[: len(texts)].tolist() == [got[0], got[500], got[60]]
+
+
+def test_long_texts_in_pieces(docs, rows):
+    """A long text that is taken up in pieces has the features it has as a whole."""
+    rng = np.random.default_rng(3)
+    parts = ["the ", "a", "B", " ", "\n", "\u00e9", "1", " x, ", "***", "\t"]
+    texts = [(t or "").encode() for _, t in rows] + ["".join(rng.choice(parts, n)).encode() for n in (1, 2, 5, 100, 5000, 9000)] + [b"x" * 5000]
+    for t in texts:
+        whole, base = quality.encode([t])
+        for step in (7, 1000, 1 << 20):
+            assert np.array_equal(quality.encode_long(t, step), whole)
+    assert np.array_equal(quality.features([texts[-2] * 200])[0], quality.encode([texts[-2] * 200])[0])
+
+
+def test_quality_forward_and_gradient():
+    """The pooled score against plain loops; training lowers the loss."""
+    rng = np.random.default_rng(1)
+    x, base = rng.normal(size=(40, quality.FEATURES)), np.array([0, 3, 4, 20, 40])
+    y = np.array([0, 1, 0, 1])
+    m = quality.train(x + 0.5 * np.repeat(y, np.diff(base))[:, None], base, y, epochs=30)
+    got = m.score(x, base)
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    p = [np.asarray(a, float) for a in m]
+    for i in range(4):
+        h = np.tanh((x[base[i] : base[i + 1]] - p[0]) / p[1] @ p[2] + p[3])
+        e = np.array([(np.tanh(v @ p[4]) * sigmoid(v @ p[5])) @ p[6] for v in h])
+        w = np.exp(e) / np.exp(e).sum()
+        assert math.isclose(got[i], sigmoid((w[:, None] * h).sum(0) @ p[7] + p[8][0]), rel_tol=1e-5)
+    assert (m.score(x + 0.5 * np.repeat(y, np.diff(base))[:, None], base) > 0.5).astype(int).tolist() == y.tolist()

@@ -55,8 +55,9 @@ def _meet_in_blocks(c: DataFrame) -> DataFrame:
 def pair_deltas(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """(w, item, other, delta): the ordered pairs that each window adds."""
     c = user_item_counts(rows)
-    heavy = c.groupBy("user").agg(F.count("*").alias("n")).where(F.col("n") > block).select("user", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    met = _meet(c.join(heavy, "user", "left_anti")).unionByName(_meet_in_blocks(c.join(heavy, "user")))
+    # counted where the self-join needs the rows anyway
+    dealt = c.withColumn("blocks", F.ceil(F.count("*").over(Window.partitionBy("user")) / block).cast("int"))
+    met = _meet(dealt.where("blocks = 1")).unionByName(_meet_in_blocks(dealt.where("blocks > 1")))
     half = met.groupBy("w", "item", "other").agg(F.sum("x").alias("delta"))
     own = Window.partitionBy("user", "item").orderBy("w")
     n = F.sum("c").over(own.rowsBetween(Window.unboundedPreceding, 0))

@@ -31,48 +31,42 @@ def with_sums(totals: DataFrame) -> DataFrame:
     return totals.join(sums, "item").join(other, "other").join(F.broadcast(n))
 
 
-def _stands(changes: DataFrame, at: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(w, keys, value) for the windows and keys of ``at``: the value of the last change up to then, 0 before any.
-
-    A task holds the windows of one key.
-    """
-    both = changes.select("w", *keys, value).unionByName(at.select("w", *keys).distinct().withColumn(value, F.lit(None).cast("long")))
-    both = both.groupBy("w", *keys).agg(F.max(value).alias("now"), F.max(F.col(value).isNull()).alias("asked"))
-    up_to = Window.partitionBy(*keys).orderBy("w").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.coalesce(F.last("now", ignorenulls=True).over(up_to), F.lit(0).cast("long"))).where("asked").select("w", *keys, value)
+#: Parts that the cells of a partner are dealt out to when its row sums are looked up.
+SPREAD = 8
 
 
-def window_cells(deltas: DataFrame, touched: DataFrame) -> DataFrame:
-    """For each touched (w, item): the cells of its row, with row sums and total as they stand after w.
+def window_cells(deltas: DataFrame, touched: DataFrame | None = None) -> DataFrame:
+    """For each touched (w, item), or each that has deltas: the cells of its row, with row sums and total as they stand after w.
 
     An item's touched windows are numbered.  A cell's count stands from the window of a delta until that of the next one,
     so it is written out for the numbers in between, and a number leads to its window: as many rows as come out.
-    Row sums are looked up as they stand at each window where they are asked for.
+    The partner's row sum is the last one up to the window, found in one pass over its cells and its sums in order.
     """
-    from pairlift.operators.pairs import row_sum_state, total_state
-
-    steps = touched.select("item", "w", F.lit(1).alias("t")).unionByName(deltas.select("item", "w").distinct().withColumn("t", F.lit(0)))
-    steps = steps.groupBy("item", "w").agg(F.max("t").alias("t"))
-    by_window = Window.partitionBy("item").orderBy("w")
+    steps = deltas.groupBy("item", "w").agg(F.sum("delta").alias("change"))
+    if touched is None:
+        steps = steps.withColumn("t", F.lit(1))
+    else:
+        none = F.lit(0).cast("long").alias("change")
+        steps = steps.withColumn("t", F.lit(0)).unionByName(touched.select("item", "w", none, F.lit(1).alias("t")))
+        steps = steps.groupBy("item", "w").agg(F.sum("change").alias("change"), F.max("t").alias("t"))
+    own = Window.partitionBy("item").orderBy("w").rowsBetween(Window.unboundedPreceding, 0)
     # nth: how many touched windows of the item come before
-    steps = steps.withColumn("nth", F.sum("t").over(by_window.rowsBetween(Window.unboundedPreceding, 0)) - F.col("t"))
-    steps = steps.withColumn("all", F.sum("t").over(Window.partitionBy("item")))
+    steps = steps.select("item", "w", "t", "change", (F.sum("t").over(own) - F.col("t")).alias("nth"), F.sum("t").over(Window.partitionBy("item")).alias("all"), F.sum("change").over(own).alias("row_sum"))
     cell = Window.partitionBy("item", "other").orderBy("w")
     state = deltas.join(steps.select("item", "w", "nth", "all"), ["item", "w"]).select(
         "item", "other", F.sum("delta").over(cell.rowsBetween(Window.unboundedPreceding, 0)).alias("k11"), "nth", F.coalesce(F.lead("nth").over(cell), F.col("all")).alias("until")
     )
     state = state.where("nth < until").select("item", "other", "k11", F.explode(F.sequence("nth", F.col("until") - 1)).alias("nth"))
-    cells = state.join(steps.where("t = 1").select("item", "nth", "w"), ["item", "nth"]).select("w", "item", "other", "k11")
-    asked = cells.select("w", F.col("other").alias("item")).unionByName(touched.select("w", "item"))
-    sums = _stands(row_sum_state(deltas), asked, ["item"], "row_sum")
-    cells = cells.join(sums, ["w", "item"]).join(sums.select("w", F.col("item").alias("other"), F.col("row_sum").alias("other_sum")), ["w", "other"])
-    n = total_state(deltas)
-    return cells.join(_total_at(n, touched), "w")  # a row per window; broadcast if that is small
-
-
-def _total_at(n: DataFrame, touched: DataFrame) -> DataFrame:
-    none = F.lit(0).alias("one")
-    return _stands(n.select("w", none, "n"), touched.select("w", none), ["one"], "n").select("w", "n")
+    cells = state.join(steps.where("t = 1").select("item", "nth", "w", "row_sum"), ["item", "nth"])
+    part = F.pmod(F.xxhash64("item"), F.lit(SPREAD))
+    empty = F.lit(None).cast("long")
+    sums = steps.where("change <> 0").select(F.col("item").alias("other"), "w", empty.alias("item"), empty.alias("k11"), empty.alias("row_sum"), F.col("row_sum").alias("stands"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part"))
+    both = cells.select("other", "w", "item", "k11", "row_sum", empty.alias("stands"), part.cast("int").alias("part")).unionByName(sums)
+    up_to = Window.partitionBy("other", "part").orderBy("w", F.col("stands").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("other_sum", F.coalesce(F.last("stands", ignorenulls=True).over(up_to), F.lit(0))).where("item is not null")
+    # a row per window; broadcast if that is small
+    n = steps.groupBy("w").agg(F.sum("change").alias("change")).select("w", F.sum("change").over(Window.orderBy("w").rowsBetween(Window.unboundedPreceding, 0)).alias("n"))
+    return both.join(n, "w").select("w", "item", "other", "k11", "row_sum", "other_sum", "n")
 
 
 def top_k(scored: DataFrame, k: int, by: tuple[str, ...] = ("item",)) -> DataFrame:

@@ -254,7 +254,7 @@ def topk_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _per_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     deltas = pairs.pair_deltas(events(spark, sf_dir))
-    cells = ranking.window_cells(deltas, pairs.touched_rows(deltas))
+    cells = ranking.window_cells(deltas)
     return ranking.top_k(ranking.score_cells(cells, decimals=DECIMALS), K, ("w", "item")).select("w", "item", "rank", "other", "k11", "score")
 
 

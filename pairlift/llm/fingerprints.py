@@ -61,41 +61,72 @@ def even_keys(spark: SparkSession, n: int) -> list[int]:
     return [at.get(i, i) for i in range(n)]
 
 
-def in_order(docs: DataFrame) -> DataFrame:
-    """Deals the rows out by ranges of doc_id, in order, each range followed by the next one's first row.
+#: Bytes of text that a task sorts, about.
+RANGE_BYTES = 64 << 20
+
+
+def _cuts(docs: DataFrame, range_bytes: int) -> list[tuple[bool, int, int]]:
+    """Where ranges begin, in the order of (doc_id is null, doc_id, hash of the text).
+
+    There are as many as there are shuffle partitions, or more if ranges would be larger than range_bytes.
+    An id that fills ranges (null is such a one) is cut by the hash.
+    """
+    ids = docs.select("doc_id")
+    total, nulls, size = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull()), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n = max(partitions(docs.sparkSession), -(-size // range_bytes))
+    n_ids = max(1, round(n * (total - nulls) / max(1, total)))
+    at = sorted(int(x) for x in ids.approxQuantile("doc_id", [i / n_ids for i in range(1, n_ids)], 0.1 / n)) if n_ids > 1 else []
+    cuts = {}
+    for x in at:
+        cuts[False, x] = cuts.get((False, x), 0) + 1
+    if nulls:
+        cuts[True, 0] = max(1, round(n * nulls / total))
+    # an id at m quantiles gets m ranges of its own hashes; the first begins where the id does
+    return sorted((*key, (j << 64) // m - (1 << 63)) for key, m in cuts.items() for j in range(m))
+
+
+def _part(cuts: list[tuple[bool, int, int]]):
+    """The number of cuts up to a row, looked up among every 64th cut and then among those in between."""
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.col("h"))
+    as_array = lambda some: F.array(*[F.struct(F.lit(a).alias("none"), F.lit(b).cast("long").alias("id"), F.lit(c).cast("long").alias("h")) for a, b, c in some])
+    if not cuts:
+        return F.lit(0)
+    groups = [cuts[i : i + 64] for i in range(0, len(cuts), 64)]
+    group = F.size(F.filter(as_array([g[0] for g in groups]), lambda c: c <= key))
+    within = F.size(F.filter(F.get(F.array(*map(as_array, groups)), group - 1), lambda c: c <= key))
+    return F.when(group == 0, 0).otherwise((group - 1) * 64 + within)
+
+
+def in_order(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Deals the rows out by ranges of (doc_id, hash of the text), in order, each range followed by the next one's first row.
 
     The result is partitioned by ``part`` and sorted; rows with ``after`` = 1 only serve as the
     following document.  One shuffle moves each text once.
     """
     spark = docs.sparkSession
-    n = partitions(spark)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    cuts = sorted({int(x) for x in ids.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n)} if n > 1 else [])
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    cuts = _cuts(docs, range_bytes)
     n = len(cuts) + 1
-    cut = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
-    part = F.when(F.col("doc_id").isNull(), n - 1).otherwise(F.size(F.filter(cut, lambda c: c < F.col("doc_id"))))
-    firsts = dict(ids.select("doc_id", part.alias("part")).groupBy("part").agg(F.min("doc_id")).collect())  # n rows
+    rows = docs.withColumn("h", F.xxhash64("text")).withColumn("part", _part(cuts))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h")
+    firsts = {r.part: (r.f.none, r.f.id, r.f.h) for r in rows.groupBy("part").agg(F.min(order).alias("f")).collect()}  # n rows
     held = sorted(firsts)
-    before = {p: held[i - 1] for i, p in enumerate(held)}
     keys = F.array(*[F.lit(k) for k in even_keys(spark, max(n, partitions(spark)))])
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), part.alias("part")
-    )
-    opening = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(firsts[p]).cast("long").alias("d")) for p in held]) if held else None
-    if opening is not None:
-        previous = F.create_map(*[F.lit(x) for p in held for x in (p, before[p])])
-        first = F.get(F.transform(F.filter(opening, lambda o: o.p == F.col("part")), lambda o: o.d), F.lit(0))
-        places = F.when(
-            F.col("doc_id").eqNullSafe(first),
-            F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("after")), F.struct(previous[F.col("part")].alias("part"), F.lit(1).alias("after"))),
-        ).otherwise(F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("after"))))
-        rows = rows.select("doc_id", "text", F.explode(places).alias("at")).select("doc_id", "text", "at.part", "at.after")
+    if held:
+        # by part: its first row, and the part before it
+        some = [firsts.get(p, (False, 0, 0)) for p in range(n)]
+        first = F.get(F.array(*[F.struct(F.lit(a).alias("none"), F.lit(b).cast("long").alias("id"), F.lit(c).cast("long").alias("h")) for a, b, c in some]), F.col("part"))
+        before = {p: held[i - 1] for i, p in enumerate(held)}
+        previous = F.get(F.array(*[F.lit(before.get(p, 0)) for p in range(n)]), F.col("part"))
+        own = F.struct(F.col("part").alias("part"), F.lit(0).alias("after"))
+        places = F.when(order == first, F.array(own, F.struct(previous.alias("part"), F.lit(1).alias("after")))).otherwise(F.array(own))
+        rows = rows.select("doc_id", "text", "h", F.explode(places).alias("at")).select("doc_id", "text", "h", "at.part", "at.after")
     else:
         rows = rows.withColumn("after", F.lit(0))
     return (
         rows.withColumn("key", F.get(keys, F.col("part")))
         .repartition(max(n, partitions(spark)), "key")
-        .sortWithinPartitions("part", "after", F.col("doc_id").asc_nulls_last(), "text")
+        .sortWithinPartitions("part", "after", F.col("doc_id").asc_nulls_last(), "h", "text")
         .select("part", "after", "doc_id", "text")
     )
 
@@ -150,7 +181,7 @@ def _forms(docs: DataFrame, bits: int, shared: np.ndarray, shared_bits: int) ->
 def fingerprints(docs: DataFrame, bits: int = 128, filter_bits: int = 23) -> DataFrame:
     """A row per row of ``docs`` (doc_id, text): n_chars, the digests of it and of its edited text, likeness.
 
-    The following document is the next by doc_id (nulls last; equal ids by text), and after the last
+    The following document is the next by doc_id (nulls last; equal ids by a hash of the text), and after the last
     the first.  Null text counts as empty; an empty text's edited text is empty.  Rows repeat as in ``docs``.  Other
     columns of ``docs`` are ignored.  An empty table gives none.
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: The most that an Arrow batch to or from a Python worker holds, but for a longer single row.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 T = TypeVar("T")
 
@@ -118,8 +118,13 @@ def worker_cache(name: str, make: Callable[[], T]) -> T:
     return _worker_cache[name]
 
 
+def forget() -> None:
+    """For operators that remember nothing: what other operators' tasks have left in this worker goes."""
+    _worker_cache.clear()
+
+
 def word_hash() -> WordHash:
-    return worker_cache("words", lambda: WordHash(limit=250_000))
+    return worker_cache("words", lambda: WordHash(limit=200_000))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -199,6 +204,27 @@ def in_bitmap(bitset: np.ndarray, bits: int, values: np.ndarray) -> np.ndarray:
     return (byte >> (np.uint8(7) - (spot & np.uint64(7)).astype(np.uint8))) & 1 == 1
 
 
+def without(docs: DataFrame, gone: DataFrame, name: str, bits: int = 23) -> DataFrame:
+    """The rows of ``docs`` whose column ``name`` is not in ``gone`` (one column of that type, without nulls).
+
+    Only rows that a bitmap of the ids to go lets through are joined, so the others are not shuffled.
+    """
+    listed, names = bitmap(gone.select(F.xxhash64(gone.columns[0]).alias("h")), bits), docs.columns
+    if not listed.any():
+        return docs
+
+    def some(wanted: bool) -> DataFrame:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keep = in_bitmap(listed, bits, b.column(len(names)).to_numpy().view(np.uint64)) == wanted
+                yield b.filter(pa.array(keep)).select(range(len(names)))
+
+        return docs.withColumn("_gone_hash", F.xxhash64(name)).mapInArrow(work, docs.schema)
+
+    ids = gone.select(F.col(gone.columns[0]).alias("_gone_id"))
+    return some(False).unionByName(some(True).join(ids, F.col(name) == F.col("_gone_id"), "left_anti"))
+
+
 def runs(*keys: np.ndarray) -> np.ndarray:
     """Starts of the runs of equal keys, and the length, for sorted columns of one length."""
     n = len(keys[0])

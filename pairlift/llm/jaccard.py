@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlift.llm.common import WordHash, bitmap, concat, in_bitmap, mix, partitions, rolling, runs, signed, stash, table, text_bytes, word_hash
+from pairlift.llm.common import WordHash, bitmap, concat, in_bitmap, mix, partitions, rolling, runs, signed, stash, table, text_bytes, without, word_hash
 from pairlift.llm.components import components
 
 K = 5
@@ -380,13 +380,15 @@ def representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     found = stash(similar(docs, percent), "similar")
     if found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone_id"))
-        return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")), "left_anti")
+        gone = found.where("doc_id is not null and doc_id <> component_id").select("doc_id")
+        if not found.where("doc_id is null and component_id is not null").isEmpty():  # a null id, of which there is one at most
+            docs = docs.where("doc_id is not null")
+        return without(docs, gone, "doc_id")
     # Repeated ids: number the rows, and keep the first of each component.
     numbered = stash(docs.withColumn("_row_id", F.monotonically_increasing_id()), "numbered")
     found = similar(numbered.select(F.col("_row_id").alias("doc_id"), "text"), percent)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_row_id"))
-    return numbered.join(gone, "_row_id", "left_anti").drop("_row_id")
+    return without(numbered, gone, "_row_id").drop("_row_id")
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

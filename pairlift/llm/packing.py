@@ -76,7 +76,7 @@ class WordEncoder:
     vocabulary's merges directly; any other new word through the whole tokenizer.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

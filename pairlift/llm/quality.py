@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlift.llm.common import mix, table, text_bytes
+from pairlift.llm.common import forget, mix, table, text_bytes
 
 PASSAGE = 64
 SAMPLE = 2000
@@ -309,6 +309,7 @@ def score(docs: DataFrame, model: Model | float) -> DataFrame:
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score_texts(text_bytes(b.column(1)), model))], names=["doc_id", "score"])
 
@@ -323,6 +324,7 @@ def keep_good(docs: DataFrame, model: Model | float, threshold: float = THRESHOL
     at = docs.columns.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             yield b.filter(pa.array(score_texts(text_bytes(b.column(at)), model) >= threshold))
 

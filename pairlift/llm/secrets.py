@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlift.llm.common import table
+from pairlift.llm.common import forget, table
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -339,6 +339,7 @@ def find_secrets(docs: DataFrame, max_layer: int = MAX_LAYER) -> DataFrame:
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             got = [scan(t or "", max_layer) for t in b.column(1).to_pylist()]
             lists = [pa.array([[s._asdict() for s in g[i]] for g in got], pa.list_(span)) for i in (0, 1)]
@@ -358,6 +359,7 @@ def redact(docs: DataFrame, mark: str = "[secret]", max_layer: int = MAX_LAYER)
     count = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             texts = b.column(at).to_pylist()
             counts = b.column(count).to_pylist() if count is not None else []

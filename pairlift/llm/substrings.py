@@ -128,11 +128,14 @@ def _edges(k: int, anchor: int, who: str):
                 if not len(pos):
                     continue
                 around = np.concatenate([np.zeros(1, np.uint64), mix(h ^ np.uint64(0xA5A5A5A5)) | np.uint64(1), np.zeros(1, np.uint64)])
-                n_parts = parts[at[pos]]
+                # equal occurrences in one document, with equal neighbours, have one fate: the first stands for all, as -1 - pos
+                edge = windows(h, k)[pos]
+                _, first, times = np.unique(mix(edge + mix(around[pos] + np.uint64(3) * mix(around[pos + k + 1]))), return_index=True, return_counts=True)
+                pos, n_parts, edge = pos[first], parts[at[pos[first]]], edge[first]
                 spread = int(mix(np.array(own_ids[:1], np.int64).view(np.uint64))[0] >> np.uint64(1))
                 rows = (
-                    signed(windows(h, k))[pos], (windows(h, k, 1)[pos] >> np.uint64(32)).astype(np.uint32).view(np.int32),
-                    np.where(n_parts > 1, spread % n_parts + 1, 0).astype(np.int32), *(np.full(len(pos), i, np.int64) for i in own_ids), pos.astype(np.int32),
+                    signed(edge), (windows(h, k, 1)[pos] >> np.uint64(32)).astype(np.uint32).view(np.int32),
+                    np.where(n_parts > 1, spread % n_parts + 1, 0).astype(np.int32), *(np.full(len(pos), i, np.int64) for i in own_ids), np.where(times > 1, -1 - pos, pos).astype(np.int32),
                     signed(around[pos]), signed(around[pos + k + 1]),
                 )
                 for have, x in zip(held, rows, strict=True):
@@ -234,13 +237,32 @@ def covered(ends: list[tuple[int, int]], n_words: int, k: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def _everywhere(ends: list[tuple[int, int]], words: list[bytes], k: int) -> list[tuple[int, int]]:
+    """The path ends (pos, kind) with those at -1 - pos repeated wherever the same k-mer has the same neighbours."""
+    out = [e for e in ends if e[0] >= 0]
+    if len(out) == len(ends):
+        return out
+    h = _word_hashes(words)
+    own, around = windows(h, k), np.concatenate([np.zeros(1, np.uint64), h, np.zeros(1, np.uint64)])
+    edge = np.arange(len(own))
+    beside = mix(around[edge] + np.uint64(3) * mix(around[edge + k + 1])) + (edge == 0) + np.uint64(2) * (edge == len(own) - 1)
+    key = mix(own + beside)
+    order = np.argsort(key, kind="stable")
+    at = key[order]
+    for pos, kind in ends:
+        if pos < 0:
+            first, last = np.searchsorted(at, key[-1 - pos]), np.searchsorted(at, key[-1 - pos], side="right")
+            out += [(int(p), kind) for p in order[first:last]]
+    return out
+
+
 def _cut(k: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for i, t, ends in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 words = (t or "").encode().split()
-                gone = covered([(e["pos"], e["kind"]) for e in ends], len(words), k)
+                gone = covered(_everywhere([(e["pos"], e["kind"]) for e in ends], words, k), len(words), k)
                 rows.append((i, int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]).decode()))
             cols = list(zip(*rows, strict=True)) if rows else [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], names=["id", "n_removed", "kept"])

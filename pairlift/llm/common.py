@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -113,14 +115,21 @@ _worker_cache: dict[str, object] = {}
 def worker_cache(name: str, make: Callable[[], T]) -> T:
     """What this worker remembers from task to task under ``name``; another name's memory goes first, so there is one at a time."""
     if name not in _worker_cache:
-        _worker_cache.clear()
+        forget()
         _worker_cache[name] = make()
     return _worker_cache[name]
 
 
 def forget() -> None:
-    """For operators that remember nothing: what other operators' tasks have left in this worker goes."""
+    """For operators that remember nothing: what other operators' tasks have left in this worker goes back to the system."""
+    if not _worker_cache:
+        return
     _worker_cache.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed memory otherwise
+    if trim:
+        trim(0)
 
 
 def word_hash() -> WordHash:

@@ -29,6 +29,8 @@ from pairlift.llm.common import stash, table, text_bytes, worker_cache
 
 CAPACITY = 4096
 END_ID = 1
+#: Bytes of text, but for a longer single one, whose words are held at a time.
+CHUNK = 1 << 20
 VOCABULARY = "word_bpe_49k.json"
 _PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 #: Letters whose lower case and composed form do not depend on their neighbours.
@@ -76,7 +78,7 @@ class WordEncoder:
     vocabulary's merges directly; any other new word through the whole tokenizer.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -121,7 +123,7 @@ class WordEncoder:
         at = 0
         while at < len(texts):
             stop, size = at, 0
-            while stop < len(texts) and size < 1 << 22:
+            while stop < len(texts) and size < CHUNK:
                 size += len(texts[stop])
                 stop += 1
             self.known.renew(), self.stems.renew()

@@ -508,3 +508,18 @@ def test_quality_forward_and_gradient():
         w = np.exp(e) / np.exp(e).sum()
         assert math.isclose(got[i], sigmoid((w[:, None] * h).sum(0) @ p[7] + p[8][0]), rel_tol=1e-5)
     assert (m.score(x + 0.5 * np.repeat(y, np.diff(base))[:, None], base) > 0.5).astype(int).tolist() == y.tolist()
+
+
+def test_an_encoder_holds_the_words_of_little_text_at_a_time():
+    import tracemalloc
+
+    own = packing.WordEncoder(packing.default_vocabulary())
+    text = b"one of the few " * 10_000
+    tracemalloc.start()
+    try:
+        n = sum(len(ids) for ids in own.encode([text] * 40))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == 40 * 4 * 40_000
+    assert peak < 60 << 20

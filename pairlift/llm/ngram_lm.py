@@ -21,9 +21,10 @@ Tokens and pairs are 64-bit hashes.
 
 from __future__ import annotations
 
+import itertools
 import pickle
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -293,6 +294,40 @@ def _by_broadcast(rows: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(work, SCORES)
 
 
+ANSWERS = ["group", "shard", "words", "grams"]
+
+
+def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts and levels for the groups' n-grams, of rows (shard, group, bits, words, grams) sorted by shard, each shard's own row first."""
+    now, words, grams = -1, None, None
+    none = Words(np.zeros(0, np.uint64), np.zeros(0, np.int64)), Filter(np.array([8]), np.array([0]), np.zeros(1, np.uint8))
+
+    def answers(asked: list[bytes], one: Callable[[np.ndarray], np.ndarray], kind: type) -> list[bytes]:
+        """For several groups' n-grams at once, each distinct one looked up once; cut as they were asked."""
+        kinds, back = np.unique(np.frombuffer(b"".join(asked), np.uint64), return_inverse=True)
+        found = one(kinds).astype(kind, copy=False)[back].tobytes()
+        size = np.dtype(kind).itemsize
+        cut = np.concatenate([[0], np.cumsum([len(x) for x in asked])]) // 8 * size
+        return [found[i:j] for i, j in itertools.pairwise(cut.tolist())]
+
+    for b in batches:
+        shard, cut = b.column(0).to_numpy(), runs(b.column(0).to_numpy())
+        out: list[list] = [[], [], [], []]
+        for i, j in itertools.pairwise(cut.tolist()):
+            if shard[i] != now:
+                now, (words, grams) = int(shard[i]), none
+            group, bits, x, y = (c.slice(i, j - i).to_pylist() for c in b.columns[1:])
+            if group[0] is None:  # the shard itself stands before the groups' rows
+                words, grams = _words(x[0]), Filter(np.array([bits[0]]), np.array([0]), np.frombuffer(y[0], np.uint8))
+                group, x, y = group[1:], x[1:], y[1:]
+            if group:
+                out[0] += group
+                out[1] += [now] * len(group)
+                out[2] += answers(x, words.count, np.int64)
+                out[3] += answers(y, grams.levels, np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=ANSWERS)
+
+
 def _by_shards(rows: DataFrame, model: Model, shards: DataFrame) -> DataFrame:
     """As _by_broadcast, with the counts in shards.
 
@@ -300,7 +335,6 @@ def _by_shards(rows: DataFrame, model: Model, shards: DataFrame) -> DataFrame:
     of these for each shard.  The shards return counts and levels, and each group's rows meet again.
     """
     spark = rows.sparkSession
-    names = ["group", "shard", "words", "grams"]
     schema = "group long, shard long, words binary, grams binary"
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,24 +352,9 @@ def _by_shards(rows: DataFrame, model: Model, shards: DataFrame) -> DataFrame:
                 parts = [[x[c[k] : c[k + 1]].tobytes() for k in asked] for x, c in zip((kind, gram), cut, strict=True)]
                 group = np.full(len(asked) + 1, uuid.uuid4().int >> 65, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(group), pa.array([-1, *asked.tolist()], pa.int64()), pa.array([pack.compress(own), *parts[0]], pa.binary()), pa.array([b"", *parts[1]], pa.binary())], names=names
+                    [pa.array(group), pa.array([-1, *asked.tolist()], pa.int64()), pa.array([pack.compress(own), *parts[0]], pa.binary()), pa.array([b"", *parts[1]], pa.binary())], names=ANSWERS
                 )
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, words, grams = -1, None, None
-        none = Words(np.zeros(0, np.uint64), np.zeros(0, np.int64)), Filter(np.array([8]), np.array([0]), np.zeros(1, np.uint8))
-        for b in batches:
-            out = []
-            for shard, group, bits, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if shard != now:
-                    now, (words, grams) = shard, none
-                if group is None:
-                    words, grams = _words(x), Filter(np.array([bits]), np.array([0]), np.frombuffer(y, np.uint8))
-                else:
-                    out.append((group, shard, words.count(np.frombuffer(x, np.uint64)).tobytes(), grams.levels(np.frombuffer(y, np.uint64)).tobytes()))
-            cols = list(zip(*out, strict=True)) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=names)
-
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
 
@@ -362,7 +381,7 @@ def _by_shards(rows: DataFrame, model: Model, shards: DataFrame) -> DataFrame:
     met = shards.select("shard", none.alias("group"), "bits", "words", F.col("filter").alias("grams"))
     met = met.union(asked.where("shard >= 0").select("shard", "group", none, "words", "grams"))
     met = met.repartition(min(1 << SHARD_BITS, partitions(spark)), "shard").sortWithinPartitions("shard", F.col("group").asc_nulls_first())
-    found = met.mapInArrow(look, schema).union(asked.where("shard < 0"))
+    found = met.mapInArrow(_look, schema).union(asked.where("shard < 0"))
     return found.repartition(partitions(spark), "group").sortWithinPartitions("group", "shard").mapInArrow(merge, SCORES)
 
 

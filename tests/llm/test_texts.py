@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from samples import frame
 
@@ -523,3 +524,25 @@ def test_an_encoder_holds_the_words_of_little_text_at_a_time():
         tracemalloc.stop()
     assert n == 40 * 4 * 40_000
     assert peak < 60 << 20
+
+
+def test_a_shard_answers_groups_together(monkeypatch):
+    """What a shard is asked by many groups takes a look-up, not one for each group."""
+    rng = np.random.default_rng(5)
+    kinds = np.sort(rng.integers(1, 1 << 40, 200).astype(np.uint64))
+    filters = [ngram_lm.build(kinds[k::2], np.arange(1, 101)) for k in (0, 1)]
+    own = [ngram_lm.Filter(np.array([len(f)]), np.array([0]), np.packbits(f, bitorder="little")) for f in filters]
+    words = [ngram_lm.Words(kinds[k::2], np.arange(1, 101)) for k in (0, 1)]
+    rows = []
+    for k in (0, 1):
+        rows.append((k, None, len(filters[k]), words[k].h.tobytes() + words[k].n.tobytes(), own[k].data.tobytes()))
+        rows += [(k, g, None, rng.choice(kinds, g % 7).tobytes(), rng.choice(kinds, g % 5).tobytes()) for g in range(150)]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    # the second batch begins in the middle of the first shard's groups
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), types, strict=True)], names=list("abcde")) for part in (rows[:80], rows[80:])]
+    expected = [(g, k, words[k].count(np.frombuffer(x, np.uint64)).tobytes(), own[k].levels(np.frombuffer(y, np.uint64)).tobytes()) for k, g, _, x, y in rows if g is not None]
+    calls, levels = [], ngram_lm.Filter.levels
+    monkeypatch.setattr(ngram_lm.Filter, "levels", lambda self, h: calls.append(len(h)) or levels(self, h))
+    got = [tuple(r.values()) for b in ngram_lm._look(iter(batches)) for r in b.to_pylist()]
+    assert got == expected
+    assert len(calls) == 3

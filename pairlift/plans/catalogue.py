@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pairlift.config import Config
 from pairlift.functions.scores import llr
-from pairlift.operators import metrics, pairs, ranking, sampling, timing
+from pairlift.operators import metrics, pairs, partners, ranking, sampling, timing
 from pairlift.plans.scratch import new_folder
 from pairlift.sources import interactions as src
 from pairlift.streaming.engine import Engine
@@ -244,7 +244,7 @@ def llr_published_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(P + PAIRS + CELLS + SCORES + RANKED + " SELECT item, rank, other, k11, score FROM g")
 def topk_final(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.top_k(_scored(src.from_customers(spark, sf_dir)), K).select("item", "rank", "other", "k11", "score")
+    return partners.top_k(src.from_customers(spark, sf_dir), K, DECIMALS).select("item", "rank", "other", "k11", "score")
 
 
 @query(B + PAIRS + CELLS + SCORES + RANKED + " SELECT item, rank, other, k11, score FROM g")

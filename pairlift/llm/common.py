@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import gc
 import re
@@ -23,6 +24,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: The most that an Arrow batch to or from a Python worker holds, but for a longer single row.
 BATCH_BYTES = 8 << 20
 
+#: Rows that Spark's Parquet reader takes up at a time where texts are read; its own 4096 hold as many whole texts in each task.
+READ_ROWS = 64
+
 T = TypeVar("T")
 
 _local_scratch: dict[str, str] = {}
@@ -37,6 +41,18 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+@contextlib.contextmanager
+def short_reads(spark: SparkSession) -> Iterator[None]:
+    """What is run inside reads Parquet by READ_ROWS rows at most; afterwards the session is as before."""
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    now = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(now), READ_ROWS)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, now)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

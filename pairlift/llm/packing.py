@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pairlift.llm.common import stash, table, text_bytes, worker_cache
+from pairlift.llm.common import short_reads, stash, table, text_bytes, worker_cache
 
 CAPACITY = 4096
 END_ID = 1
@@ -258,7 +258,8 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
     rows, so no task sees all pieces of a length.  Equal rows are pieces of their own and may swap places.
     An empty table gives no rows; other columns are ignored.
     """
-    cut = stash(pieces(docs, path, capacity, end_id), "pieces")
+    with short_reads(docs.sparkSession):
+        cut = stash(pieces(docs, path, capacity, end_id), "pieces")
     histogram = cut.groupBy("length").agg(F.count("*").alias("n"))
     counts = {int(r.length): int(r.n) for r in histogram.collect()}  # at most `capacity` rows
     first, sequence, offset = places(plan(counts, capacity))

@@ -526,6 +526,27 @@ def test_an_encoder_holds_the_words_of_little_text_at_a_time():
     assert peak < 60 << 20
 
 
+def test_packing_reads_few_texts_at_a_time(spark, tmp_path, monkeypatch):
+    spark.range(2000).selectExpr("id AS doc_id", "repeat('a few words ', 20) AS text").coalesce(1).write.parquet(str(tmp_path / "docs"))
+    name, batches, write = "spark.sql.parquet.columnarReaderBatchSize", [], packing.stash
+    before = spark.conf.get(name)
+
+    def counted(df, label):
+        run = df._jdf.queryExecution()
+        assert run.toRdd().count() == 2000
+        node = run.executedPlan()
+        while node.nodeName() != "ColumnarToRow":
+            node = node.children().apply(0)
+        batches.append(node.metrics().apply("numInputBatches").value())
+        return write(df, label)
+
+    monkeypatch.setattr(packing, "stash", counted)
+    got = packing.pack(spark.read.parquet(str(tmp_path / "docs")), packing.default_vocabulary())
+    assert spark.conf.get(name) == before
+    assert got.count() == 2000
+    assert batches[0] >= 2000 / 64
+
+
 def test_a_shard_answers_groups_together(monkeypatch):
     """What a shard is asked by many groups takes a look-up, not one for each group."""
     rng = np.random.default_rng(5)
